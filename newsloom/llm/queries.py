@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.confusables import consistent, lookalike_pairs
+from newsloom.llm.mixing import mix, reached_shares
+from newsloom.llm.packing import pack, split_items
+from newsloom.llm.tokens import token_count
 from newsloom.session import table
 
 
@@ -24,5 +27,47 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.unionByName(aliases)
 
 
-QUERIES = {"p6_found": p6_found, "p6_forms": p6_forms}
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece_no, first_token, size, container_id): the container of every document or piece."""
+    spec = table(spark, sf_dir, "pack_specs").orderBy("spec_id").first()  # a table of settings
+    return pack(_sized(spark, sf_dir), "doc_id", "tokens", spec["capacity_tokens"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): documents that alone exceed the capacity, as the packing splits them."""
+    return split_items(p8_containers(spark, sf_dir), "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(containers, tokens, fill): how full the containers are."""
+    spec = table(spark, sf_dir, "pack_specs").orderBy("spec_id").first()
+    used = p8_containers(spark, sf_dir).where("container_id is not null")
+    total = used.agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
+    return total.withColumn("fill", F.try_divide(F.col("tokens"), F.col("containers") * spec["capacity_tokens"]))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(position, source, doc_id, repeat_no, tokens): the chosen documents with their repeats, in mixed order."""
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source was to reach and the share that it reached."""
+    return reached_shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_forms": p6_forms,
+    "p8_found": p8_found,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+}
 ORACLES: dict[str, str] = {}
