@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.confusables import consistent, lookalike_pairs
 from newsloom.llm.mixing import mix, reached_shares
 from newsloom.llm.packing import pack, split_items
+from newsloom.llm.sentences import sentences
 from newsloom.llm.tokens import token_count
 from newsloom.session import table
 
@@ -61,6 +62,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start_char, end_char): the sentences of every document."""
+    return sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").distinct()
+
+
 QUERIES = {
     "p6_found": p6_found,
     "p6_forms": p6_forms,
@@ -69,5 +75,6 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 ORACLES: dict[str, str] = {}
