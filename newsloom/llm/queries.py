@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.confusables import consistent, lookalike_pairs
+from newsloom.llm import languages
 from newsloom.llm.mixing import mix, reached_shares
 from newsloom.llm.packing import pack, split_items
 from newsloom.llm.sentences import sentences
@@ -13,6 +14,40 @@ from newsloom.llm.tokens import token_count
 from newsloom.session import table
 
 
+def _language_inputs(spark: SparkSession, sf_dir: str):
+    """Titles with their source's label, texts with their own, and a model trained on a sample of both."""
+    codes = [r["code"] for r in table(spark, sf_dir, "languages").select("code").where("code is not null").distinct().orderBy("code").collect()]  # a table of settings
+    sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"), languages.normal_label(F.col("language"), codes).alias("label"))
+    titles = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "source_id", "title").join(F.broadcast(sources), "source_id", "left")
+    texts = table(spark, sf_dir, "cleaned_articles").select("id", "raw_article_id", "clean_text", languages.normal_label(F.col("language"), codes).alias("label"))
+    model = languages.train(languages.sample_rows(texts, "id", "clean_text", "label"), languages.sample_rows(titles, "raw_article_id", "title", "label"), codes)
+    return titles, texts, model
+
+
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(place, raw_article_id, text_id, seg_no, lang, confidence, letters, label): every title, and every stretch of every text."""
+    titles, texts, model = _language_inputs(spark, sf_dir)
+    said = languages.title_languages(titles, "raw_article_id", "title", "site", model, keep=("label",))
+    a = said.select(F.lit("title").alias("place"), "raw_article_id", F.lit(None).cast("long").alias("text_id"), F.lit(0).alias("seg_no"), "lang", "confidence", F.lit(None).cast("long").alias("letters"), "label")
+    parts = languages.text_stretches(texts, "id", "clean_text", model)
+    b = parts.join(texts.select("id", "raw_article_id", "label"), "id")
+    return a.unionByName(b.select(F.lit("text").alias("place"), "raw_article_id", F.col("id").alias("text_id"), "seg_no", "lang", "confidence", "letters", "label"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw_article_id, place, seg_no, lang): titles and texts whose label is missing or wrong, and texts of several languages."""
+    all_ = p1_languages(spark, sf_dir)
+    titles = all_.where("place = 'title' and (label is null or lang <> label)")
+    texts = all_.where("place = 'text'")
+    per = texts.groupBy("text_id", "raw_article_id", "label", "lang").agg(F.sum("letters").alias("n"), F.collect_list("seg_no").alias("segs"))
+    whole = per.groupBy("text_id", "raw_article_id", "label").agg(
+        F.max_by("lang", F.struct("n", "lang")).alias("main"), F.count("*").alias("languages"), F.flatten(F.collect_list(F.transform("segs", lambda s: F.struct(s.alias("seg_no"), F.col("lang").alias("lang"))))).alias("parts")
+    )
+    wrong = whole.where("label is null or main <> label or languages > 1").select("raw_article_id", F.explode("parts").alias("p"))
+    out = titles.select("raw_article_id", "place", "seg_no", "lang")
+    return out.unionByName(wrong.select("raw_article_id", F.lit("text").alias("place"), F.col("p.seg_no").alias("seg_no"), F.col("p.lang").alias("lang"))).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, id_a, id_b): titles and aliases that look the same but are not the same characters."""
     titles = lookalike_pairs(table(spark, sf_dir, "raw_articles").select("id", "title"), "id", "title")
@@ -68,6 +103,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_languages": p1_languages,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p8_found": p8_found,
