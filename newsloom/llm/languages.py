@@ -76,7 +76,7 @@ def _hashes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pad = np.concatenate([c, np.array([32, 32])])
     two = pad[:-2] * 1000003 ^ pad[1:-1] * 8191
     three = two * 31 ^ pad[2:] * 131071
-    block = np.where((c >= 0x3400) & (c <= 0x9FFF), 0x34, np.where(c < 0x250, 0, c >> 7 & 0x3FF))
+    block = np.where((c >= 0x3040) & (c <= 0x9FFF), np.where(c < 0x3100, 0x60, 0x34), np.where(c < 0x250, 0, c >> 7 & 0x3FF))
     return (two ^ two >> 15) % BUCKETS, BUCKETS + (three ^ three >> 15) % BUCKETS, 2 * BUCKETS + np.where(c == 32, 0x3FF, block)
 
 

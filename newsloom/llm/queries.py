@@ -11,6 +11,7 @@ from newsloom.llm.mixing import mix, reached_shares
 from newsloom.llm.packing import pack, split_items
 from newsloom.llm.sentences import sentences
 from newsloom.llm.tokens import token_count
+from newsloom.llm.truncation import truncated
 from newsloom.session import table
 
 
@@ -63,6 +64,25 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.unionByName(aliases)
 
 
+def p4_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw_article_id, source_id, truncated, log_odds, posterior, ending, mark) of every summary."""
+    sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"))
+    raw = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "source_id", "summary_from_feed")
+    located = raw.join(F.broadcast(sources), "source_id", "left")
+    return truncated(located, "raw_article_id", "source_id", "summary_from_feed", "site", table(spark, sf_dir, "cleaned_articles"), "raw_article_id", "clean_text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw_article_id, source_id): the articles whose summary was cut."""
+    return p4_summaries(spark, sf_dir).where("truncated").select("raw_article_id", "source_id").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, summaries, cut, share): how often each source cuts its summaries."""
+    per = p4_summaries(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("summaries"), F.count_if("truncated").alias("cut"))
+    return per.withColumn("share", F.col("cut") / F.col("summaries"))
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
@@ -105,6 +125,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_languages": p1_languages,
+    "p4_found": p4_found,
+    "p4_summaries": p4_summaries,
+    "p4_rates": p4_rates,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p8_found": p8_found,
