@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.confusables import consistent, lookalike_pairs
 from newsloom.llm import languages
 from newsloom.llm.mixing import mix, reached_shares
+from newsloom.llm.neighbours import exact_nearest, nearest, similar_pairs
 from newsloom.llm.packing import pack, split_items
 from newsloom.llm.sentences import sentences
 from newsloom.llm.tokens import token_count
@@ -88,6 +89,34 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
 
 
+VECTOR_MODEL, VECTOR_DIMS = "local/hash-minilm-384", 384
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "article_embeddings").where(F.col("model_name") == VECTOR_MODEL)
+    return rows.select("raw_article_id", "vector_json")
+
+
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw_article_id, neighbour, rank, similarity): the 10 most similar articles of every article."""
+    return nearest(_vectors(spark, sf_dir), "raw_article_id", "vector_json", VECTOR_DIMS)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b): pairs with a cosine of at least 0.8 where one is among the 10 most similar of the other."""
+    return similar_pairs(p7_neighbours(spark, sf_dir), "raw_article_id", 0.8)
+
+
+def p7_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(neighbours, found, recall, close_neighbours, close_found, close_recall) against brute force, for ids divisible by 100; close: cosine at least 0.8."""
+    exact = exact_nearest(_vectors(spark, sf_dir), "raw_article_id", "vector_json", VECTOR_DIMS, every=100)
+    near = p7_neighbours(spark, sf_dir).select("raw_article_id", "neighbour", F.lit(1).alias("hit"))
+    both = exact.join(near, ["raw_article_id", "neighbour"], "left")
+    close = F.col("similarity") >= 0.8
+    out = both.agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.count_if(close).alias("close_neighbours"), F.count_if(close & F.col("hit").isNotNull()).alias("close_found"))
+    return out.withColumns({"recall": F.try_divide(F.col("found"), F.col("neighbours")), "close_recall": F.try_divide(F.col("close_found"), F.col("close_neighbours"))})
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, piece_no, first_token, size, container_id): the container of every document or piece."""
     spec = table(spark, sf_dir, "pack_specs").orderBy("spec_id").first()  # a table of settings
@@ -130,6 +159,9 @@ QUERIES = {
     "p4_rates": p4_rates,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
+    "p7_recall": p7_recall,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
