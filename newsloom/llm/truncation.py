@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import cut
+
 MARKS = ".!?。！？।؟۔"
 CLOSERS = "\"'”“’»›」』)\\]）】"
 _ENDED = f"[{MARKS}][{CLOSERS}\\s]*$"
@@ -37,6 +39,7 @@ _SHORT = "sta|inc|ltd|ltda|corp|art|env|abs|млн|мин|руб|prof|approx|apr
 _WEAK_WORD = f"(?iu)(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}])(?:[\\p{{L}}&&[^\\x{{900}}-\\x{{97F}}]]{{1,2}}|{_SHORT})"
 _WEAK_DOT = f"{_WEAK_WORD}\\.$|\\d\\.$"  # an abbreviation or a number before the last dot
 _WIDE = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{0E00}-\\x{0E7F}]"
+TAIL = 200  # an ending and what may stand behind it is never longer
 WINDOW = 18  # a cut at a word's end is at most so much shorter than its limit
 _FIT = "source_id long, n_chars int, n_bytes int, ending string, posterior double"
 
@@ -53,11 +56,12 @@ def _strip_credit(text: Column, site: Column) -> Column:
 def endings(df: DataFrame, key: str, source: str, text: str, site: str) -> DataFrame:
     """(key, source_id, n_chars, n_bytes, core, ending, mark) of every value that isn't null or blank.
 
-    core: the value without tags, credit, omission marks and remnants at its end. ending: `closed`, `weak` (a dot that
+    core: the last TAIL characters without tags, credit, omission marks and remnants at their end. ending: `closed`, `weak` (a dot that
     may only end an abbreviation) or `open`. mark: `omitted`, `broken` or empty.
     """
     v = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("long").alias("source_id"), F.rtrim(F.col(f"`{text}`")).alias("__raw"), F.trim(F.col(f"`{site}`")).alias("__site"))
-    v = v.where("trim(__raw) <> ''").withColumn("__v", F.rtrim(F.regexp_replace("__raw", _TAGS, "")))
+    v = v.where("trim(__raw) <> ''").select("*", F.length("__raw").alias("n_chars"), F.octet_length("__raw").alias("n_bytes"), F.right("__raw", F.lit(TAIL)).alias("__tail"))
+    v = v.withColumn("__v", F.rtrim(F.when(F.col("__tail").endswith(">"), F.regexp_replace("__tail", _TAGS, "")).otherwise(F.col("__tail"))))
     v = v.withColumn("__c", F.rtrim(_strip_credit(F.col("__v"), F.col("__site"))))
     broken = F.col("__c").rlike(_BROKEN)
     v = v.withColumn("__d", F.rtrim(F.regexp_replace("__c", _BROKEN, "")))
@@ -67,7 +71,7 @@ def endings(df: DataFrame, key: str, source: str, text: str, site: str) -> DataF
     ended = F.col("core").rlike(_ENDED)
     weak = F.col("core").endswith(".") & F.col("core").rlike(_WEAK_DOT)
     ending = F.when(ended & weak, "weak").when(ended, "closed").otherwise("open")
-    return v.select("key", "source_id", F.length("__raw").alias("n_chars"), F.octet_length("__raw").alias("n_bytes"), "core", ending.alias("ending"), "mark")
+    return v.select("key", "source_id", "n_chars", "n_bytes", "core", ending.alias("ending"), "mark")
 
 
 def _normal(z: float) -> float:
@@ -170,15 +174,17 @@ def _last_word(core: Column) -> Column:
     return F.when(bare.rlike(_WIDE + "$"), F.right(bare, F.lit(2))).otherwise(F.lower(F.regexp_extract(bare, "([\\p{L}\\p{M}\\p{N}'’-]+)$", 1)))
 
 
-def word_ends(values: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, ends, seen) for each of `words` over all `values` (core): how often it stands before a terminal mark."""
-    token = "[\\p{L}\\p{M}\\p{N}'’-]+[^\\s\\p{L}\\p{N}]*"
-    spaced = values.where(~F.col("core").rlike(_WIDE)).select(F.explode(F.regexp_extract_all("core", F.lit(token), F.lit(0))).alias("t"))
-    spaced = spaced.select(F.lower(F.regexp_extract("t", "^([\\p{L}\\p{M}\\p{N}'’-]+)", 1)).alias("word"), F.col("t").rlike(f"[{MARKS}…]").cast("int").alias("end"))
-    wide = values.where(F.col("core").rlike(_WIDE)).select(F.explode(F.expr("transform(sequence(1, greatest(length(core) - 2, 1)), i -> substr(core, i, 3))")).alias("t"))
-    wide = wide.select(F.left("t", F.lit(2)).alias("word"), F.right("t", F.lit(1)).rlike(f"[{MARKS}…]").cast("int").alias("end"))
-    both = spaced.unionByName(wide).join(words.select("word").distinct(), "word", "left_semi")
-    return both.groupBy("word").agg(F.sum("end").alias("ends"), F.count("*").alias("seen"))
+def word_ends(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, ends, seen) for each of `words` over all `texts` (text): how often it stands before a terminal mark."""
+    wide = F.col("text").rlike(_WIDE)
+    tokens = texts.select(
+        F.explode(F.when(wide, F.expr("transform(sequence(1, greatest(length(text) - 2, 1)), i -> substr(text, i, 3))")).otherwise(F.split(F.lower("text"), "\\s+"))).alias("t"), wide.alias("wide")
+    )
+    counted = tokens.groupBy("t", "wide").agg(F.count("*").alias("n"))  # what follows looks at distinct tokens only
+    word = F.when(F.col("wide"), F.left("t", F.lit(2))).otherwise(F.regexp_extract("t", "([\\p{L}\\p{M}\\p{N}'’-]+)[^\\p{L}\\p{M}\\p{N}]*$", 1))
+    end = F.when(F.col("wide"), F.right("t", F.lit(1)).rlike(f"[{MARKS}]")).otherwise(F.col("t").rlike(f"[^.][{MARKS}][{CLOSERS}]*$"))
+    each = counted.select(word.alias("word"), (end.cast("long") * F.col("n")).alias("e"), "n")
+    return each.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("e").alias("ends"), F.sum("n").alias("seen"))
 
 
 def _going_on(core: Column, full: Column, words: int) -> Column:
@@ -192,7 +198,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str, site: str, full:
     """(key, source_id, truncated, log_odds, posterior, ending, mark) for every value that isn't null or blank.
 
     `full` has full texts (`full_text`) under `full_key`; rows may be missing or repeated."""
-    ended = endings(df, key, source, text, site)
+    ended = cut(endings(df, key, source, text, site))
     unsure = ended.where("ending <> 'closed' or mark <> ''")
     texts = full.select(F.col(f"`{full_key}`").alias("key"), F.col(f"`{full_text}`").alias("__full")).where("__full is not null")
     after = F.coalesce(_going_on(F.col("core"), F.col("__full"), 48), _going_on(F.col("core"), F.col("__full"), 24))
@@ -208,7 +214,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str, site: str, full:
 
     judged = unsure.join(known, "key", "left").withColumn("word", _last_word(F.col("core")))
     guess = judged.where("goes_on is null")
-    ends = word_ends(ended, guess.select("word"))
+    ends = word_ends(df.select(F.col(f"`{text}`").alias("text")).where("trim(text) <> ''"), guess.select("word"))
     judged = judged.join(ends, "word", "left")
     rate = (F.coalesce("ends", F.lit(0)) + 0.02) / (F.coalesce("seen", F.lit(0)) + 1.0)
     by_word = F.when(F.col("word") == "", -1.0).otherwise(F.least(F.lit(4.0), F.greatest(F.lit(-4.0), -F.log(rate / 0.06))))
