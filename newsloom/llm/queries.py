@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.confusables import consistent, lookalike_pairs
 from newsloom.llm import languages
 from newsloom.llm.mixing import mix, reached_shares
+from newsloom.llm.nearduplicates import Duplicates
 from newsloom.llm.neighbours import exact_nearest, nearest, similar_pairs
 from newsloom.llm.packing import pack, split_items
 from newsloom.llm.sentences import sentences
@@ -65,6 +66,25 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.unionByName(aliases)
 
 
+STORY_SIMILARITY = 0.5
+
+
+def _stories(spark: SparkSession, sf_dir: str) -> Duplicates:
+    raw = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "title", "summary_from_feed")
+    texts = table(spark, sf_dir, "cleaned_articles").select("raw_article_id", "clean_text")
+    return Duplicates(spark, raw.join(texts, "raw_article_id"), "raw_article_id", ["title", "summary_from_feed", "clean_text"], STORY_SIMILARITY)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b): pairs of raw articles with a cleaned row whose sets of 12-character substrings have a Jaccard similarity of at least 0.5."""
+    return _stories(spark, sf_dir).pairs()
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw_article_id, group_id): the story of every raw article with a cleaned row."""
+    return _stories(spark, sf_dir).groups().select(F.col("id").alias("raw_article_id"), "group_id")
+
+
 def p4_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw_article_id, source_id, truncated, log_odds, posterior, ending, mark) of every summary."""
     sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"))
@@ -154,6 +174,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_languages": p1_languages,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_summaries": p4_summaries,
     "p4_rates": p4_rates,
