@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.boilerplate import body_blocks
 from newsloom.llm.confusables import consistent, lookalike_pairs
 from newsloom.llm import languages
 from newsloom.llm.mixing import mix, reached_shares
@@ -104,6 +105,18 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("share", F.col("cut") / F.col("summaries"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raw_article_id, field, block_md5): the main-body blocks of every page and of every cleaned text."""
+    sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"))
+    raw = table(spark, sf_dir, "raw_articles").select("id", "source_id", "url", "raw_html")
+    host = F.coalesce(F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
+    placed = raw.join(F.broadcast(sources), "source_id", "left").select("id", host.alias("host"), "site", "raw_html")
+    html = placed.where("raw_html is not null").select("id", F.lit("raw_html").alias("field"), "host", "site", F.col("raw_html").alias("content"))
+    cleaned = table(spark, sf_dir, "cleaned_articles").select(F.col("raw_article_id").alias("id"), "clean_text")
+    texts = placed.select("id", "host", "site").join(cleaned, "id").select("id", F.lit("clean_text").alias("field"), "host", "site", F.col("clean_text").alias("content"))
+    return body_blocks(html.unionByName(texts)).select(F.col("id").alias("raw_article_id"), "field", "block_md5")
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
@@ -179,6 +192,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_summaries": p4_summaries,
     "p4_rates": p4_rates,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p7_found": p7_found,
