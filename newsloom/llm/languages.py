@@ -283,8 +283,8 @@ def text_stretches(df: DataFrame, key: str, text: str, model: Model) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
-            texts = [t for t in batch["__text"] if t is not None]
-            keys = [k for k, t in zip(batch[key], batch["__text"]) if t is not None]
+            texts = [t for t in batch["__text"] if isinstance(t, str)]
+            keys = [k for k, t in zip(batch[key], batch["__text"]) if isinstance(t, str)]
             rows = []
             k = 0
             while k < len(texts):
@@ -321,10 +321,12 @@ def title_languages(df: DataFrame, key: str, title: str, site: str, model: Model
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
-            batch = batch[batch["__text"].notna()]
-            said = classify([plain_title(t, s) for t, s in zip(batch["__text"], batch["__site"])], own)
-            out = batch.drop(columns=["__text", "__site"]).assign(lang=[x for x, _, _ in said], confidence=[confidence(m) for _, m, _ in said])
-            yield out[out["lang"].notna()]
+            there = [k for k, t in enumerate(batch["__text"]) if isinstance(t, str)]
+            texts, sites = list(batch["__text"]), [s if isinstance(s, str) else None for s in batch["__site"]]
+            said = dict(zip(there, classify([plain_title(texts[k], sites[k]) for k in there], own)))
+            good = [k for k in there if said[k][0]]
+            out = {c: [batch[c].iloc[k] for k in good] for c in (key, *keep)}
+            yield pd.DataFrame(out | {"lang": [said[k][0] for k in good], "confidence": [confidence(said[k][1]) for k in good]}, dtype=object).astype({key: batch[key].dtype, "confidence": "float64"})
 
     plain = df.select(*[F.col(f"`{c}`").alias(c) for c in (key, *keep)], F.col(f"`{title}`").alias("__text"), F.col(f"`{site}`").alias("__site"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *keep))

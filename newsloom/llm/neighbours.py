@@ -24,11 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.ranks import sieve
 from newsloom.session import cut
 
 SAMPLE = 4096
-CURVES = 4
-HALF = 1024
+CURVES = 5
+HALF = 2048
 AXES = 24
 TURNED = 8
 BITS = 6
@@ -37,7 +38,7 @@ SEED = 20240229
 
 def parse_vector(text: str | None, dims: int) -> np.ndarray | None:
     """A unit vector, or null where the text isn't a list of `dims` finite numbers, not all zero."""
-    if text is None:
+    if not isinstance(text, str):
         return None
     try:
         values = json.loads(text)
@@ -150,7 +151,12 @@ def prepared(df: DataFrame, key: str, text: str, dims: int) -> DataFrame:
                 packed, steps = zip(*(pack(v) for v in x))
                 yield pd.DataFrame({"key": part["key"].to_numpy()[good], "packed": packed, "step": np.array(steps, np.float32), "places": list(curves.keys(x))})
 
-    return cut(rows.mapInPandas(run, "key long, packed binary, step float, places array<long>"))
+    vectors = cut(rows.mapInPandas(run, "key long, packed binary, step float, places array<long>"))
+    repeated = vectors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key"))
+    if repeated.isEmpty():
+        return vectors
+    maybe = sieve(repeated, "key")  # few rows, so that only they are shuffled
+    return maybe(vectors, "key", False).unionByName(maybe(vectors, "key").dropDuplicates(["key"]))
 
 
 def _stretches(batches: Iterator[pd.DataFrame], half: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -186,7 +192,7 @@ def nearest(df: DataFrame, key: str, text: str, dims: int, k: int = 10, half: in
     vectors = prepared(df, key, text, dims)
     n = vectors.count()
     placed = vectors.select("key", "packed", "step", F.posexplode("places").alias("curve", "place"))
-    parts = max(2 * CURVES, -(-n * CURVES // 16_384))
+    parts = max(1, -(-n * CURVES // (16 * half)))
     ordered = placed.repartitionByRange(parts, "curve", "place", F.xxhash64("key")).sortWithinPartitions("curve", "place", F.xxhash64("key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ def buckets_for(rows: int) -> int:
 
 
 def hash_bucket(hashed: Column, buckets: int) -> Column:
-    """Bucket of a 64-bit hash that keeps the hash's order, so ranks over the buckets follow it."""
+    """Bucket of a 64-bit hash by its leading bits; rows are numbered by bucket and then by hash."""
     return F.floor((F.shiftrightunsigned(hashed, 33).cast("double")) * buckets / 2.0**31).cast("int")
 
 
@@ -37,7 +37,8 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list, out: str,
 
 
 def sieve(ids: DataFrame, column: str, most_bits: int = 1 << 24):
-    """A function that keeps the rows of a frame whose long column may be among `ids`, by a bitmap of bounded size.
+    """A function that keeps the rows of a frame whose long column may be among `ids` (or, with
+    inside=False, are surely not), by a bitmap of bounded size.
 
     The bitmap has about 16 bits for each id, at most `most_bits`; beyond that more rows than wanted are kept, and none
     is ever lost. It spares the shuffle of rows that a join would drop.
@@ -59,4 +60,7 @@ def sieve(ids: DataFrame, column: str, most_bits: int = 1 << 24):
         s = slots.to_numpy()
         return pd.Series((shared.value[s // 64] >> (s % 64) & 1) == 1)
 
-    return lambda df, name: df.where(may(F.pmod(F.xxhash64(name), F.lit(bits))))
+    def keep(df: DataFrame, name: str, inside: bool = True) -> DataFrame:
+        return df.where(may(F.pmod(F.xxhash64(name), F.lit(bits))) == inside)
+
+    return keep

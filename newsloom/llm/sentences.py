@@ -245,7 +245,7 @@ def sentences(docs: DataFrame, key: str, text: str, sample: int = SAMPLE_DOCS) -
         for batch in batches:
             ids, starts, ends = [], [], []
             for k, t in zip(batch[key], batch["__text"]):
-                if t is not None:
+                if isinstance(t, str):
                     for a, b in units(t, decide):
                         ids.append(k)
                         starts.append(a)
