@@ -50,7 +50,7 @@ SEED = {
 }
 _CUT = re.compile("(?:(?<=[\\w\\d%”»)]{3})\\.|[!?…।؟۔]|\\.{2,})+[”\"’»“」』)\\]]*(?=\\s|$)[^\\S\n]*|[。！？]+[”\"’»」』）)]*[^\\S\n]*|\\s*\n\\s*")
 _WIDE_LETTERS = ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))
-_MIXED = re.compile("[Ͱ-ϿЀ-ӿ＀-￯]")
+_MIXED = re.compile("[\u00ad\u0300-\u04ff\u2000-\u200f\u202f\u205f-\u2064\ufb00-\ufb06\ufeff-\uffef]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
 

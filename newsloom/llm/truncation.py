@@ -203,7 +203,7 @@ def truncated(df: DataFrame, key: str, source: str, text: str, site: str, full:
     texts = full.select(F.col(f"`{full_key}`").alias("key"), F.col(f"`{full_text}`").alias("__full")).where("__full is not null")
     after = F.coalesce(_going_on(F.col("core"), F.col("__full"), 48), _going_on(F.col("core"), F.col("__full"), 24))
     seen = unsure.select("key", "core", "ending").join(texts, "key").select("key", "core", "ending", after.alias("after")).where("after is not null")
-    weak = F.col("core").rlike(_WEAK_WORD + "$")
+    weak = F.col("core").rlike(_WEAK_WORD + "\\.?$")
     marked = F.col("after").rlike(f"^[{CLOSERS}]*\\s*[{MARKS}…]") & ~F.col("after").rlike(f"^[{CLOSERS}]*\\s*[{MARKS}…]+[{CLOSERS}\\s]*[,،\\p{{Ll}}]|^\\.\\s*\\d") & ~(weak & F.col("after").startswith("."))
     stops = marked | F.col("after").rlike("^\\s*(?:\\n|$)")
     begins = F.col("after").rlike("^\\s*(?:\\n|$|[«“„—–\"]?\\s*[¿¡«“]?[\\p{Lu}\\x{600}-\\x{6FF}\\x{900}-\\x{97F}\\x{E00}-\\x{E7F}\\x{3040}-\\x{9FFF}])")

@@ -104,3 +104,34 @@ def test_few_vectors(spark):
     assert nb.nearest(df.where("false"), "id", "v", 2).count() == 0
     same = spark.createDataFrame([(k, "[1,2]") for k in range(50)], "id long, v string")
     assert nb.nearest(same, "id", "v", 2, k=3).groupBy("id").agg(F.count("*").alias("n")).where("n = 3").count() == 50
+
+
+def test_found_pairs_match_sql(spark):
+    import os
+
+    import duckdb
+    import pytest
+
+    from newsloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW article_embeddings AS SELECT * FROM '{sf}/article_embeddings.parquet'")
+    want = set(con.execute(queries.ORACLES["p7_found"]).fetchall())
+    assert {(r["id_a"], r["id_b"]) for r in queries.p7_found(spark, sf).collect()} == want and want
+
+
+def test_every_query_runs(spark):
+    import os
+
+    import pytest
+
+    from newsloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, sf).count() > 0 or name == "p6_found", name
