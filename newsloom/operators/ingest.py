@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from urllib.robotparser import RobotFileParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.urls import canonical_url, url_key
 
@@ -70,12 +74,56 @@ def expired(rows: DataFrame, stamp: str, now: str, interval: str) -> DataFrame:
     return rows.where(F.col(stamp) < F.expr(f"timestamp_ntz'{now}' - INTERVAL {interval}"))
 
 
-def runs(rows: DataFrame, key: str, order: list[str], failed: str) -> DataFrame:
+def runs(rows: DataFrame, key: str, order: list[str], failed: str, bucket: Column) -> DataFrame:
     """Adds consecutive_failures: the length of the run of failures up to each row of its key; a success starts anew.
 
-    Islands by a running count of successes, then a running count within each island.
+    `bucket` must not fall as the order rises (a day of the first order column, say). Runs are counted within each
+    (key, bucket); a run that a bucket begins with is carried on from a table of one row for each (key, bucket), so a
+    hot key is as many tasks as it has buckets.
+    """
+    bad = F.when(F.col(failed), 1).otherwise(0)
+    within = Window.partitionBy(key, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    islands = rows.withColumn("__b", bucket).withColumn("__island", F.sum(1 - bad).over(within))
+    inside = Window.partitionBy(key, "__b", "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = islands.withColumn("__run", F.sum(bad).over(inside))
+    ends = local.groupBy(key, "__b").agg(F.max("__island").alias("good"), F.max_by("__run", F.struct("__island", *order)).alias("tail"))
+    by_bucket = Window.partitionBy(key).orderBy("__b")
+    chains = ends.withColumn("__chain", F.sum(F.when(F.col("good") > 0, 1).otherwise(0)).over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = F.sum("tail").over(Window.partitionBy(key, "__chain").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    chains = chains.withColumn("__total", carried).withColumn("__carry", F.coalesce(F.lag("__total").over(by_bucket), F.lit(0)))
+    joined = local.join(chains.select(key, "__b", "__carry"), [key, "__b"])
+    full = F.col("__run") + F.when(F.col("__island") == 0, F.col("__carry")).otherwise(0)
+    return joined.withColumn("consecutive_failures", full).drop("__b", "__island", "__run", "__carry")
+
+
+def with_defaults(rows: DataFrame, dimension: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """A left join to a dimension whose missing rows and nulls take default values."""
+    extra = dimension.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in defaults])
+    joined = rows.join(extra, F.col(key) == F.col("__k"), "left")
+    return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"__{c}", F.lit(v)).alias(c) for c, v in defaults.items()])
+
+
+def allowed_by_robots(requests: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """`requests` (host, url) with `allowed`, from fetched rules (host, status, body).
+
+    401 and 403 deny all, other 4xx allow all, 5xx and hosts without an answer deny; a body is read as robots rules.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    islands = rows.withColumn("__island", F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(key, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return islands.withColumn("consecutive_failures", F.sum(F.when(F.col(failed), 1).otherwise(0)).over(inside)).drop("__island")
+    @F.pandas_udf(T.BooleanType())
+    def decide(status: pd.Series, body: pd.Series, url: pd.Series) -> pd.Series:
+        parsed: dict[str, RobotFileParser] = {}
+        out = []
+        for s, b, u in zip(status, body, url):
+            if s != s or s is None or s in (401, 403) or s >= 500:
+                out.append(False)
+            elif s >= 400:
+                out.append(True)
+            else:
+                text = b if isinstance(b, str) else ""
+                if text not in parsed:
+                    parsed[text] = RobotFileParser()
+                    parsed[text].parse(text.splitlines())
+                out.append(parsed[text].can_fetch(agent, u))
+        return pd.Series(out, dtype=bool)
+
+    joined = requests.join(rules.select("host", "status", "body"), "host", "left")
+    return joined.withColumn("allowed", decide("status", "body", "url")).drop("status", "body")

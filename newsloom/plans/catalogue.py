@@ -394,7 +394,7 @@ _RUNS = f"""i AS (SELECT *, {_FAILED} AS failed, sum(CASE WHEN {_FAILED} THEN 0
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "v_health").withColumn("failed", F.expr(_FAILED))
-    return ingest.runs(rows, "source_id", ["checked_at", "observation_id"], "failed")
+    return ingest.runs(rows, "source_id", ["checked_at", "observation_id"], "failed", F.to_date("checked_at"))
 
 
 @query(f"WITH {_RUNS} SELECT observation_id, source_id, CAST(run AS BIGINT) AS consecutive_failures, run >= 3 AS warn, run >= 6 AS trips FROM r")
@@ -488,3 +488,79 @@ def json_fences(spark, d):
 def article_serialized(spark, d):
     out = feed.serialized(feed.page(_served(spark, d), 20), view(spark, d, "v_article_categories"), view(spark, d, "v_categories"))
     return out.select("id", "title", F.col("source.id").alias("source_id"), F.col("source.name").alias("source_name"), F.array_join("categories", ",").alias("categories"))
+
+
+@query("SELECT id, name FROM sources WHERE is_active AND takedown_requested_at IS NULL AND (contains(lower(name), 'wire') OR contains(lower(feed_url), 'sport'))")
+def source_scan(spark, d):
+    wanted = F.array(F.lit("wire"), F.lit("sport"))
+    s = table(spark, d, "sources").where("is_active AND takedown_requested_at IS NULL")
+    hit = F.exists(wanted, lambda w: F.contains(F.lower(s["name"]), w)) | F.exists(wanted, lambda w: F.contains(F.lower(s["feed_url"]), w))
+    return s.where(hit).select("id", "name")
+
+
+@query("SELECT x.source_id, s.name, x.articles, x.words FROM (SELECT r.source_id, count(*) AS articles, CAST(sum(c.word_count) AS BIGINT) AS words FROM raw_articles r JOIN cleaned_articles c ON c.raw_article_id = r.id GROUP BY 1 ORDER BY words DESC, 1 LIMIT 3) x JOIN sources s ON s.id = x.source_id")
+def wordiest_sources(spark, d):
+    """A top-k over a join: only the three groups that remain meet the dimension."""
+    raw = table(spark, d, "raw_articles").select("id", "source_id")
+    per = raw.join(table(spark, d, "cleaned_articles").select("raw_article_id", "word_count"), F.col("id") == F.col("raw_article_id")).groupBy("source_id").agg(F.count("*").alias("articles"), F.sum("word_count").alias("words"))
+    top = per.orderBy(F.desc("words"), "source_id").limit(3)
+    return top.join(table(spark, d, "sources").select(F.col("id").alias("source_id"), "name"), "source_id").select("source_id", "name", "articles", "words")
+
+
+@query("SELECT a.id, coalesce(s.editorial_weight, 1.0) AS editorial_weight, coalesce(s.kind, 'rss') AS kind FROM v_articles a LEFT JOIN (SELECT * FROM sources WHERE id % 3 <> 0) s ON s.id = a.source_id")
+def defaults_join(spark, d):
+    dimension = table(spark, d, "sources").where("id % 3 <> 0").select(F.col("id").alias("source_id"), "editorial_weight", "kind")
+    out = ingest.with_defaults(view(spark, d, "v_articles").select("id", "source_id"), dimension, "source_id", {"editorial_weight": 1.0, "kind": "rss"})
+    return out.select("id", "editorial_weight", "kind")
+
+
+@query("SELECT CAST(sum(octet_length(encode(coalesce(raw_html, ''))) + octet_length(encode(coalesce(summary_from_feed, '')))) AS BIGINT) AS used, printf('%.0f MB / %.0f MB (%.1f%%)', sum(octet_length(encode(coalesce(raw_html, ''))) + octet_length(encode(coalesce(summary_from_feed, '')))) / 1048576.0, 500.0, sum(octet_length(encode(coalesce(raw_html, ''))) + octet_length(encode(coalesce(summary_from_feed, '')))) * 100.0 / 524288000.0) AS shown FROM raw_articles")
+def storage_used(spark, d):
+    size = F.octet_length(F.coalesce("raw_html", F.lit(""))) + F.octet_length(F.coalesce("summary_from_feed", F.lit("")))
+    used = table(spark, d, "raw_articles").agg(F.sum(size).alias("used"))
+    return used.select("used", F.format_string("%.0f MB / %.0f MB (%.1f%%)", F.col("used") / 1048576.0, F.lit(500.0), F.col("used") * 100.0 / 524288000.0).alias("shown"))
+
+
+@query("SELECT event_id, trim(split_part(h, ',', 1)) AS client FROM (SELECT event_id, ' 10.0.' || CAST(user_id % 256 AS VARCHAR) || '.1 , 10.1.1.1' AS h FROM events)")
+def client_key(spark, d):
+    header = F.concat(F.lit(" 10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1 , 10.1.1.1"))
+    return table(spark, d, "events").select("event_id", F.trim(F.split_part(header, F.lit(","), F.lit(1))).alias("client"))
+
+
+_LABELS = "CASE WHEN event_id % 7 = 0 THEN 'not json' WHEN event_id % 5 = 0 THEN '{\"category\": \"Gossip\", \"confidence\": 0.9}' ELSE '{\"category\": \" ' || CASE WHEN event_id % 2 = 0 THEN 'Health' ELSE 'Sports' END || ' \", \"confidence\": 0.' || CAST(event_id % 10 AS {s}) || '}' END"
+LABELS = "Politics Technology Business Science World Health Sports".split()
+
+
+@query(f"""WITH r AS (SELECT event_id, {_LABELS.replace('{s}', 'VARCHAR')} AS response FROM events), p AS (SELECT event_id, trim(CASE WHEN json_valid(response) THEN json_extract_string(response, '$.category') END) AS category, CASE WHEN json_valid(response) THEN CAST(json_extract_string(response, '$.confidence') AS DOUBLE) END AS confidence FROM r)
+    SELECT event_id, category IS NULL AS failed, CASE WHEN category IS NULL THEN NULL WHEN category NOT IN ('Politics','Technology','Business','Science','World','Health','Sports') OR confidence < 0.4 THEN 'Uncategorized' ELSE category END AS label,
+    CASE WHEN category IS NULL THEN NULL WHEN category NOT IN ('Politics','Technology','Business','Science','World','Health','Sports') THEN 0.0 ELSE confidence END AS confidence FROM p""")
+def response_labels(spark, d):
+    """Labels out of recorded model responses: malformed ones fail, unknown or unsure ones are uncategorised."""
+    r = table(spark, d, "events").select("event_id", F.expr(_LABELS.replace("{s}", "STRING")).alias("response"))
+    x = F.from_json("response", "category string, confidence double")
+    category, confidence = F.trim(x["category"]), x["confidence"]
+    known = category.isin(LABELS)
+    return r.select("event_id", category.isNull().alias("failed"), F.when(category.isNull(), None).when(~known | (confidence < 0.4), "Uncategorized").otherwise(category).alias("label"), F.when(category.isNull(), None).when(~known, 0.0).otherwise(confidence).alias("confidence"))
+
+
+@query("SELECT CAST(url AS VARCHAR) AS url, NOT contains(url, '/sport/') AS allowed FROM sources")
+def robots_decisions(spark, d):
+    s = table(spark, d, "sources").select("id", "url", "name")
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    rules = s.select(host.alias("host"), F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /sport/").alias("body")).dropDuplicates(["host"])
+    return ingest.allowed_by_robots(s.select(host.alias("host"), "url"), rules, "newsloom").select("url", "allowed")
+
+
+@query("SELECT id, slug, name FROM countries WHERE is_enabled ORDER BY sort_order, name")
+def enabled_countries(spark, d):
+    return table(spark, d, "countries").where("is_enabled").orderBy("sort_order", "name").select("id", "slug", "name")
+
+
+@query("SELECT raw_article_id, id FROM (SELECT *, row_number() OVER (PARTITION BY raw_article_id ORDER BY created_at DESC, id DESC) AS r FROM cleaned_articles) WHERE r = 1")
+def latest_cleaned(spark, d):
+    return ingest.latest(table(spark, d, "cleaned_articles").select("raw_article_id", "id", "created_at"), "raw_article_id", ["created_at", "id"]).select("raw_article_id", "id")
+
+
+@query("SELECT id FROM raw_articles WHERE id NOT IN (SELECT raw_article_id FROM cleaned_articles)")
+def not_yet_cleaned(spark, d):
+    return ingest.unseen(table(spark, d, "raw_articles").select("id"), table(spark, d, "cleaned_articles").select(F.col("raw_article_id").alias("id")), "id")

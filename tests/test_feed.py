@@ -67,7 +67,28 @@ def test_first_unseen_latest_changes(spark):
 
 def test_failure_runs(spark):
     rows = spark.createDataFrame([(1, t, f) for t, f in enumerate([True, True, False, True, True, True])], "source_id long, t int, failed boolean")
-    assert [r["consecutive_failures"] for r in ingest.runs(rows, "source_id", ["t"], "failed").orderBy("t").collect()] == [1, 2, 0, 1, 2, 3]
+    assert [r["consecutive_failures"] for r in ingest.runs(rows, "source_id", ["t"], "failed", rows.t * 0).orderBy("t").collect()] == [1, 2, 0, 1, 2, 3]
+
+
+def test_failure_runs_over_buckets(spark):
+    import random
+
+    rng = random.Random(3)
+    flags = [rng.random() < 0.8 for _ in range(300)]
+    rows = spark.createDataFrame([(k % 2, k, f) for k, f in enumerate(flags)], "source_id long, t int, failed boolean")
+    got = {(r["source_id"], r["t"]): r["consecutive_failures"] for r in ingest.runs(rows, "source_id", ["t"], "failed", (rows.t / 7).cast("int")).collect()}
+    for s in (0, 1):
+        n = 0
+        for t in range(s, 300, 2):
+            n = n + 1 if flags[t] else 0
+            assert got[(s, t)] == n
+
+
+def test_robots(spark):
+    requests = spark.createDataFrame([("a", "https://a/x"), ("a", "https://a/private/x"), ("b", "https://b/x"), ("c", "https://c/x"), ("d", "https://d/x"), ("e", "https://e/x")], "host string, url string")
+    rules = spark.createDataFrame([("a", 200, "User-agent: *\nDisallow: /private/"), ("b", 403, None), ("c", 404, None), ("d", 503, None)], "host string, status int, body string")
+    got = {r["url"]: r["allowed"] for r in ingest.allowed_by_robots(requests, rules, "newsloom").collect()}
+    assert got == {"https://a/x": True, "https://a/private/x": False, "https://b/x": False, "https://c/x": True, "https://d/x": False, "https://e/x": False}
 
 
 def test_sliding_window_against_model(spark):
