@@ -192,7 +192,7 @@ def nearest(df: DataFrame, key: str, text: str, dims: int, k: int = 10, half: in
     vectors = prepared(df, key, text, dims)
     n = vectors.count()
     placed = vectors.select("key", "packed", "step", F.posexplode("places").alias("curve", "place"))
-    parts = max(1, -(-n * CURVES // (16 * half)))
+    parts = max(1, -(-n * CURVES // (8 * half)))
     ordered = placed.repartitionByRange(parts, "curve", "place", F.xxhash64("key")).sortWithinPartitions("curve", "place", F.xxhash64("key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

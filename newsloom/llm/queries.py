@@ -20,7 +20,7 @@ from newsloom.session import table
 
 def _language_inputs(spark: SparkSession, sf_dir: str):
     """Titles with their source's label, texts with their own, and a model trained on a sample of both."""
-    codes = [r["code"] for r in table(spark, sf_dir, "languages").select("code").where("code is not null").distinct().orderBy("code").collect()]  # a table of settings
+    codes = [r["code"] for r in table(spark, sf_dir, "languages").select("code").where("code is not null").distinct().orderBy("code").collect()] or sorted(languages.SEED)  # a table of settings
     sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"), languages.normal_label(F.col("language"), codes).alias("label"))
     titles = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "source_id", "title").join(F.broadcast(sources), "source_id", "left")
     texts = table(spark, sf_dir, "cleaned_articles").select("id", "raw_article_id", "clean_text", languages.normal_label(F.col("language"), codes).alias("label"))
@@ -150,10 +150,15 @@ def p7_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"recall": F.try_divide(F.col("found"), F.col("neighbours")), "close_recall": F.try_divide(F.col("close_found"), F.col("close_neighbours"))})
 
 
+def _capacity(spark: SparkSession, sf_dir: str) -> int:
+    """The capacity of the first spec; 4096 where there is none."""
+    spec = table(spark, sf_dir, "pack_specs").where("capacity_tokens > 0").orderBy("spec_id").first()  # a table of settings
+    return spec["capacity_tokens"] if spec else 4096
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, piece_no, first_token, size, container_id): the container of every document or piece."""
-    spec = table(spark, sf_dir, "pack_specs").orderBy("spec_id").first()  # a table of settings
-    return pack(_sized(spark, sf_dir), "doc_id", "tokens", spec["capacity_tokens"])
+    return pack(_sized(spark, sf_dir), "doc_id", "tokens", _capacity(spark, sf_dir))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +168,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(containers, tokens, fill): how full the containers are."""
-    spec = table(spark, sf_dir, "pack_specs").orderBy("spec_id").first()
     used = p8_containers(spark, sf_dir).where("container_id is not null")
     total = used.agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
-    return total.withColumn("fill", F.try_divide(F.col("tokens"), F.col("containers") * spec["capacity_tokens"]))
+    return total.withColumn("fill", F.try_divide(F.col("tokens"), F.col("containers") * _capacity(spark, sf_dir)))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
