@@ -35,6 +35,22 @@ def normalized(text: Column) -> Column:
     return _search_form(text)
 
 
+def word_form(text: str | None) -> str | None:
+    """The words of the search form, each between single spaces, so that whole words are found by containment."""
+    if text is None:
+        return None
+    return f" {' '.join(re.findall('[a-z0-9_]+', search_form(text)))} "
+
+
+@F.pandas_udf(T.StringType())
+def _word_form(texts: pd.Series) -> pd.Series:
+    return texts.map(word_form, na_action="ignore")
+
+
+def worded(text: Column) -> Column:
+    return _word_form(text)
+
+
 class _Blocks(HTMLParser):
     """Collects the text of each block of a fragment."""
 

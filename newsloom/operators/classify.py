@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import json_list, normalized
+from newsloom.functions.text import json_list, normalized, worded
 
 # Weights and thresholds of the country decision.
 SOURCE_WEIGHT, SECTION_WEIGHT = 0.65, 0.70
@@ -107,10 +107,10 @@ def country_decisions(ids: DataFrame, scores: DataFrame) -> DataFrame:
 
 def keyword_scores(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, slug, parent, score) for `texts` (id, title, description): 1 for a keyword in the title, else 0.5 in the description."""
-    words = rules.select("slug", "parent", "sort_order", F.explode("keywords").alias("k")).select("slug", "parent", "sort_order", normalized(F.lower("k")).alias("keyword")).where("keyword <> ''")
+    words = rules.select("slug", "parent", "sort_order", F.explode("keywords").alias("k")).select("slug", "parent", "sort_order", worded(F.col("k")).alias("keyword")).where("trim(keyword) <> ''")
     terms = [r["keyword"] for r in words.select("keyword").distinct().collect()]  # a dimension table
-    norm = texts.select("id", normalized(F.col("title")).alias("t"), normalized(F.col("description")).alias("d"))
-    each = lambda c: F.filter(F.array(*[F.lit(k) for k in terms]), lambda k: has_word(F.coalesce(c, F.lit("")), k)) if terms else F.array().cast("array<string>")
+    norm = texts.select("id", worded(F.coalesce("title", F.lit(""))).alias("t"), worded(F.coalesce("description", F.lit(""))).alias("d"))
+    each = lambda c: F.filter(F.array(*[F.lit(k) for k in terms]), lambda k: F.contains(c, k)) if terms else F.array().cast("array<string>")
     hits = norm.select("id", each(F.col("t")).alias("in_t"), each(F.col("d")).alias("in_d"))
     hits = hits.select("id", F.explode(F.concat(F.transform("in_t", lambda k: F.struct(k.alias("keyword"), F.lit(1.0).alias("w"))), F.transform(F.array_except("in_d", "in_t"), lambda k: F.struct(k.alias("keyword"), F.lit(0.5).alias("w"))))).alias("h"))
     return hits.select("id", F.col("h.keyword").alias("keyword"), F.col("h.w").alias("w")).join(F.broadcast(words), "keyword").groupBy("id", "slug", "parent", "sort_order").agg(F.sum("w").alias("score"))
