@@ -16,6 +16,7 @@ get no language. Texts are scored whole, however long. Repeated rows give repeat
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.confusables import consistent_form
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 BUCKETS = 1 << 15
 CHUNK = 300_000
 UNSURE = 0.6
@@ -51,7 +52,7 @@ SEED = {
 _CUT = re.compile("(?:(?<=[\\w\\d%”»)]{3})\\.|[!?…।؟۔]|\\.{2,})+[”\"’»“」』)\\]]*(?=\\s|$)[^\\S\n]*|[。！？]+[”\"’»」』）)]*[^\\S\n]*|\\s*\n\\s*")
 _WIDE_LETTERS = ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))
 _MIXED = re.compile("[\u00ad\u0300-\u04ff\u2000-\u200f\u202f\u205f-\u2064\ufb00-\ufb06\ufeff-\uffef]")
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
+_ACCENT = re.compile("(?<=[A-Za-z])[\u0300-\u036f]+")
 
 
 def normal_label(label: Column, codes: list[str]) -> Column:
@@ -87,12 +88,13 @@ class Model:
     table: np.ndarray  # (2 * BUCKETS + 1024, machines): first the families, then the pairs
 
     def score(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean machine outputs and letters of the segments of `text` that begin at `starts`."""
+        """Mean machine outputs (a wide letter counts 3) and letters of the segments of `text` that begin at `starts`."""
         c, letters = _fold(text)
         two, three, block = _hashes(c)
-        out = np.add.reduceat(self.table[two] + self.table[three] + self.table[block], starts, axis=0)
+        weight = np.maximum(letters, 1)
+        out = np.add.reduceat((self.table[two] + self.table[three] + self.table[block]) * weight[:, None].astype(np.float32), starts, axis=0)
         n = np.add.reduceat(letters, starts)
-        return out / np.maximum(np.add.reduceat((c != 32).astype(np.int64), starts), 1)[:, None], n
+        return out / np.maximum(n, 1)[:, None].astype(np.float32), n
 
     def decide(self, scores: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and margin of each row of scores."""
@@ -142,15 +144,16 @@ def _fit(texts: list[str], labels: list[str], rounds: int = 40) -> Model:
 
     joined = "\n".join(texts)
     starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    c, _ = _fold(joined)
+    c, letters = _fold(joined)
     used, place = np.unique(np.concatenate(_hashes(c)), return_inverse=True)
     place = place.reshape(3, -1)
     row = np.repeat(np.arange(len(texts)), np.diff([*starts, len(c)]))
-    n = np.maximum(np.bincount(row, c != 32, len(texts)), 1).astype(np.float32)
+    n = np.maximum(np.bincount(row, letters, len(texts)), 1).astype(np.float32)
     w = np.zeros((len(used), y.shape[1]), np.float32)
     g2 = np.full_like(w, 1e-10)
     cells = [place[h] * np.int64(len(texts)) + row for h in range(3)]
-    cell, times = np.unique(np.concatenate(cells), return_counts=True)
+    cell, inverse = np.unique(np.concatenate(cells), return_inverse=True)
+    times = np.bincount(inverse, np.tile(np.maximum(letters, 1), 3))
     at, who = (cell // len(texts)).astype(np.int64), (cell % len(texts)).astype(np.int64)
     x = (times / n[who]).astype(np.float32)
     order = np.argsort(who, kind="stable")
@@ -179,6 +182,11 @@ def pieces(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def bare(text: str) -> str:
+    """Without accents on Latin letters."""
+    return unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFD", text)))
+
+
 def train(texts: list[tuple[str, str]], titles: list[tuple[str, str]], codes: list[str]) -> Model:
     """A model from (text, label) samples, whose labels may be wrong, and SEED."""
     seed = [(s, x) for x in codes if x in SEED for s in (SEED[x][a:b] for a, b, _ in pieces(SEED[x]))]
@@ -187,8 +195,11 @@ def train(texts: list[tuple[str, str]], titles: list[tuple[str, str]], codes: li
     for k, (text, label) in enumerate(texts):
         if label in codes:
             parts = pieces(text)
-            sample += [(text[a:b], label, k) for a, b, _ in parts[:: max(1, len(parts) // 4)]]
+            sample += [(text[a:b], label, k) for a, b, _ in parts[:: max(1, len(parts) // 3)]]
     sample += [(t, x, len(texts) + k) for k, (t, x) in enumerate(titles) if x in codes]
+    # titles come without accents as well
+    sample += [(bare(t), x, k) for t, x, k in sample if k >= len(texts) and bare(t) != t]
+    seed += [(bare(t), x) for t, x in seed if bare(t) != t]
     sample = [r for r in sample if any(c.isalpha() for c in r[0])]
     if not seed:
         if len({x for _, x, _ in sample}) < 2:
