@@ -104,11 +104,11 @@ def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = _targets(targets)
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), F.max(F.col("repeat_no") + 1).alias("most_repeats"))
     both = wanted.join(got, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tokens", "documents", "most_repeats")})
-    sums = both.agg(F.sum(F.when(F.col("tokens") > 0, F.col("target_weight"))).alias("w"), F.sum("tokens").alias("t"))
-    joined = both.join(F.broadcast(sums))  # one row
-    return joined.select(
+    there = both.where("tokens > 0")
+    weights, total = there.agg(F.sum("target_weight")).scalar(), there.agg(F.sum("tokens")).scalar()
+    return both.select(
         "source",
-        F.when(F.col("tokens") > 0, F.col("target_weight") / F.col("w")).otherwise(0.0).alias("target_share"),
-        F.coalesce(F.try_divide(F.col("tokens"), F.col("t")), F.lit(0.0)).alias("reached_share"),
+        F.when(F.col("tokens") > 0, F.col("target_weight") / weights).otherwise(0.0).alias("target_share"),
+        F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("reached_share"),
         "tokens", "documents", "most_repeats", "max_repeats",
     )
