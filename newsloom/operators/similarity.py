@@ -23,5 +23,6 @@ def window_duplicates(batch: DataFrame, window: DataFrame, threshold: float = TH
     """
     one = window.where("vector is not null").agg(F.collect_list(F.struct(F.col("id").alias("wid"), F.transform("vector", lambda x: F.coalesce(F.try_divide(x.cast("double"), norm(F.col("vector"))), F.lit(0.0))).alias("u"))).alias("w"))
     rows = batch.select("id", F.transform("vector", lambda x: F.coalesce(F.try_divide(x.cast("double"), norm(F.col("vector"))), F.lit(0.0))).alias("v"))
-    scored = rows.join(F.broadcast(one)).select("id", F.array_max(F.transform("w", lambda e: F.struct(F.round(dot(F.col("v"), e["u"]), 6).alias("s"), (-e["wid"]).alias("n")))).alias("best"))
+    rows = rows.withColumn("w", one.scalar())  # a scalar subquery
+    scored = rows.select("id", F.array_max(F.transform("w", lambda e: F.struct(F.round(dot(F.col("v"), e["u"]), 6).alias("s"), (-e["wid"]).alias("n")))).alias("best"))
     return scored.select("id", (-F.col("best.n")).alias("nearest"), F.coalesce("best.s", F.lit(0.0)).alias("similarity"), F.coalesce(F.col("best.s") >= threshold, F.lit(False)).alias("is_duplicate"))

@@ -422,8 +422,8 @@ def retention_counts(spark, d):
     raw = table(spark, d, "raw_articles")
     old = ingest.expired(raw, "created_at", "2026-03-01 12:00:00", "10 DAY").select("id")
     html = ingest.expired(raw.where("raw_html is not null"), "created_at", "2026-03-01 12:00:00", "24 HOUR").agg(F.count("*").alias("html_cleared"))
-    count = lambda t, n: table(spark, d, t).join(old, F.col("raw_article_id") == old.id, "left_semi").agg(F.count("*").alias(n))
-    return html.join(old.agg(F.count("*").alias("articles"))).join(count("cleaned_articles", "cleaned")).join(count("article_embeddings", "embeddings"))  # single rows
+    count = lambda t: table(spark, d, t).join(old, F.col("raw_article_id") == old.id, "left_semi").agg(F.count("*")).scalar()
+    return html.select("html_cleared", old.agg(F.count("*")).scalar().alias("articles"), count("cleaned_articles").alias("cleaned"), count("article_embeddings").alias("embeddings"))
 
 
 @query("SELECT id, CASE WHEN raw_html IS NOT NULL AND created_at < TIMESTAMP '2026-02-28 12:00:00' THEN NULL ELSE md5(raw_html) END AS kept FROM raw_articles WHERE created_at >= TIMESTAMP '2026-02-19 12:00:00'")
