@@ -11,7 +11,8 @@ Work is linear in the number of vectors: CURVES * 3 * HALF comparisons each, wha
 different places by their key, so a hot group is spread over as many stretches as it fills.
 
 Texts that aren't a JSON list of `dims` finite numbers, and all-zero lists, take no part. A vector is never its own
-neighbour; repeated rows of one key count once. With fewer than k others, as many as there are come out.
+neighbour; repeated rows of one key count once. Spark samples the bounds of its range partitions, so beyond one
+partition two runs may differ in a few of the farther neighbours; within a run all agree. With fewer than k others, as many as there are come out.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import nearduplicates as nd
 from newsloom.llm import neighbours as nb
+from newsloom.session import cut
 
 
 def brute(rows, threshold):
@@ -89,7 +90,7 @@ def test_recall_against_brute_force(spark):
     x = np.repeat(centres, 6, axis=0) + rng.normal(size=(1800, 32)) * 0.15
     rows = [(k, json.dumps(v.round(5).tolist())) for k, v in enumerate(x)] + [(9000, None), (9001, "[1]"), (5, json.dumps(x[5].round(5).tolist()))]
     df = spark.createDataFrame(rows, "id long, v string")
-    near = nb.nearest(df, "id", "v", 32, k=5, half=128)
+    near = cut(nb.nearest(df, "id", "v", 32, k=5, half=128))
     exact = nb.exact_nearest(df, "id", "v", 32, every=10, k=5)
     hit = exact.join(near.select("id", "neighbour"), ["id", "neighbour"], "left_semi").count()
     assert hit / exact.count() >= 0.9
