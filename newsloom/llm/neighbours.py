@@ -6,7 +6,10 @@ each curve; along it, every vector is compared with all vectors of its own stret
 stretches beside it, as one matrix product. The curves differ in rotation and shift, so neighbours that one curve
 parts are met on another. The best k of every curve are merged.
 
-Work is linear in the number of vectors: CURVES * 3 * HALF comparisons each, whatever the data. Vectors travel as
+A fixed window sees a share of all vectors that falls as 1/n, so the number of curves grows with n (`curves_for`):
+CURVES up to n = SEEN * HALF, then as the power GROWTH of n. Each vector is compared with curves * 3 * HALF others. The
+curves are done CURVES at a time, each group reduced to the best k before the next, so that the rows shuffled at once
+don't grow faster than n. Vectors travel as
 16-bit fixed-point numbers of their unit length, which changes a cosine by a few millionths. Equal vectors get
 different places by their key, so a hot group is spread over as many stretches as it fills.
 
@@ -18,6 +21,7 @@ partition two runs may differ in a few of the farther neighbours; within a run a
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,8 @@ from newsloom.session import cut
 SAMPLE = 4096
 CURVES = 5
 HALF = 2048
+SEEN = 20  # stretches to which CURVES curves are enough
+GROWTH = 0.6  # of the number of curves beyond, so that recall of far neighbours stays about level
 AXES = 24
 TURNED = 8
 BITS = 6
@@ -119,15 +125,20 @@ class Curves:
             width = np.maximum(high - low, 1e-9) * 1.25
             self.maps.append((m, low - rng.uniform(0, 0.2, turned) * width, width))
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """(n, curves) places of the vectors on each curve."""
+    def keys(self, x: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        """(n, curves) places of the vectors on each curve, or on those from `first` to before `last`."""
         out = []
-        for m, low, width in self.maps:
+        for m, low, width in self.maps[first:last]:
             cells = np.clip(((x - self.mean) @ m - low) / width * 2**BITS, 0, 2**BITS - 1)
             out.append(hilbert(cells.astype(np.int64), BITS))
         return np.stack(out, 1)
 
 
+def curves_for(n: int, half: int = HALF) -> int:
+    """Curves that n vectors need in stretches of `half`."""
+    return max(CURVES, math.ceil(CURVES * (n / (SEEN * half)) ** GROWTH))
+
+
 def _sample(rows: DataFrame, dims: int) -> np.ndarray:
     keys = rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
     texts = rows.join(F.broadcast(keys), "key").orderBy("key", "text").limit(SAMPLE).collect()
@@ -135,10 +146,13 @@ def _sample(rows: DataFrame, dims: int) -> np.ndarray:
     return np.array(parsed) if parsed else np.eye(2, dims)
 
 
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null and text is not null")
+
+
 def prepared(df: DataFrame, key: str, text: str, dims: int) -> DataFrame:
-    """(key, packed, step, places) of every usable vector, checkpointed."""
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).where("key is not null and text is not null")
-    curves = Curves(_sample(rows, dims))
+    """(key, packed, step) of every usable vector, checkpointed."""
+    rows = _rows(df, key, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,11 +162,10 @@ def prepared(df: DataFrame, key: str, text: str, dims: int) -> DataFrame:
                 good = [k for k, v in enumerate(parsed) if v is not None]
                 if not good:
                     continue
-                x = np.array([parsed[k] for k in good])
-                packed, steps = zip(*(pack(v) for v in x))
-                yield pd.DataFrame({"key": part["key"].to_numpy()[good], "packed": packed, "step": np.array(steps, np.float32), "places": list(curves.keys(x))})
+                packed, steps = zip(*(pack(parsed[k]) for k in good))
+                yield pd.DataFrame({"key": part["key"].to_numpy()[good], "packed": packed, "step": np.array(steps, np.float32)})
 
-    vectors = cut(rows.mapInPandas(run, "key long, packed binary, step float, places array<long>"))
+    vectors = cut(rows.mapInPandas(run, "key long, packed binary, step float"))
     repeated = vectors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key"))
     if repeated.isEmpty():
         return vectors
@@ -160,6 +173,19 @@ def prepared(df: DataFrame, key: str, text: str, dims: int) -> DataFrame:
     return maybe(vectors, "key", False).unionByName(maybe(vectors, "key").dropDuplicates(["key"]))
 
 
+def _placed(vectors: DataFrame, curves: Curves, first: int, last: int) -> DataFrame:
+    """(key, packed, step, curve, place) of every vector on the curves from `first` to before `last`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = unpack(list(batch["packed"]), batch["step"].to_numpy()).astype(np.float64)
+                yield batch.assign(places=list(curves.keys(x, first, last)))
+
+    places = vectors.select("key", "packed", "step").mapInPandas(run, "key long, packed binary, step float, places array<long>")
+    return places.select("key", "packed", "step", F.posexplode("places").alias("curve", "place"))
+
+
 def _stretches(batches: Iterator[pd.DataFrame], half: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(curve, keys, vectors) of consecutive stretches of a sorted partition."""
     curve, keys, packed, steps = None, [], [], []
@@ -192,9 +218,9 @@ def nearest(df: DataFrame, key: str, text: str, dims: int, k: int = 10, half: in
     """(key, neighbour, rank, similarity): for every usable vector its k most similar ones, rank 1 first."""
     vectors = prepared(df, key, text, dims)
     n = vectors.count()
-    placed = vectors.select("key", "packed", "step", F.posexplode("places").alias("curve", "place"))
+    count = curves_for(n, half)
+    curves = Curves(_sample(_rows(df, key, text), dims), count)
     parts = max(1, -(-n * CURVES // (8 * half)))
-    ordered = placed.repartitionByRange(parts, "curve", "place", F.xxhash64("key")).sortWithinPartitions("curve", "place", F.xxhash64("key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def emit(keys, best):
@@ -226,12 +252,23 @@ def nearest(df: DataFrame, key: str, text: str, dims: int, k: int = 10, half: in
         if last is not None:
             yield emit(last[1], last[3])
 
-    found = ordered.select("curve", "key", "packed", "step").mapInPandas(run, "key long, names array<long>, sims array<float>")
-    zipped = found.select("key", F.arrays_zip(F.transform("sims", lambda s: -s).alias("d"), F.col("names").alias("n")).alias("z"))
-    merged = zipped.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("z"))).alias("z"))
-    # a neighbour met on several curves has the same similarity to within rounding: keep its first place
-    once = F.filter("z", lambda x, i: F.array_position(F.transform("z", lambda y: y["n"]), x["n"]) == i + 1)
-    top = merged.select("key", F.posexplode(F.slice(once, 1, k)).alias("pos", "x"))
+    def best(first: int) -> DataFrame:
+        """(key, z) of a group of curves: the k best, nearest first."""
+        placed = _placed(vectors, curves, first, min(first + CURVES, count))
+        ordered = placed.repartitionByRange(parts, "curve", "place", F.xxhash64("key")).sortWithinPartitions("curve", "place", F.xxhash64("key"))
+        found = ordered.select("curve", "key", "packed", "step").mapInPandas(run, "key long, names array<long>, sims array<float>")
+        return merged(found.select("key", F.arrays_zip(F.transform("sims", lambda s: -s).alias("d"), F.col("names").alias("n")).alias("z")))
+
+    def merged(lists: DataFrame) -> DataFrame:
+        whole = lists.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("z"))).alias("z"))
+        # a neighbour met on several curves has the same similarity to within rounding: keep its first place
+        once = F.filter("z", lambda x, i: F.array_position(F.transform("z", lambda y: y["n"]), x["n"]) == i + 1)
+        return whole.select("key", F.slice(once, 1, k).alias("z"))
+
+    lists = best(0)
+    for first in range(CURVES, count, CURVES):
+        lists = merged(cut(lists).unionByName(best(first)))
+    top = lists.select("key", F.posexplode("z").alias("pos", "x"))
     return top.select(F.col("key").alias(key), F.col("x.n").alias("neighbour"), (F.col("pos") + 1).alias("rank"), (-F.col("x.d")).cast("double").alias("similarity"))
 
 

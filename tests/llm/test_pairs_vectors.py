@@ -99,6 +99,17 @@ def test_recall_against_brute_force(spark):
     assert pairs.where("id_a >= id_b").count() == 0 and pairs.count() == pairs.distinct().count()
 
 
+def test_recall_holds_where_the_window_is_a_small_share(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 12))
+    df = spark.createDataFrame([(k, json.dumps(v.round(5).tolist())) for k, v in enumerate(x)], "id long, v string")
+    near = cut(nb.nearest(df, "id", "v", 12, k=5, half=24))
+    exact = nb.exact_nearest(df, "id", "v", 12, every=5, k=5)
+    assert exact.join(near.select("id", "neighbour"), ["id", "neighbour"], "left_semi").count() / exact.count() >= 0.9
+    assert near.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("neighbour").alias("d")).where("n <> 5 or d <> 5").count() == 0
+    assert nb.curves_for(20 * nb.HALF) == nb.CURVES < nb.curves_for(200 * nb.HALF) < nb.curves_for(2000 * nb.HALF)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(1, "[1,0]"), (2, "[1,0.1]"), (3, "bad")], "id long, v string")
     assert {(r["id"], r["neighbour"]) for r in nb.nearest(df, "id", "v", 2).collect()} == {(1, 2), (2, 1)}
