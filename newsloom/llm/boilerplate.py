@@ -4,8 +4,8 @@ Host suffix array. The pages of a host become one stream of tokens, block by blo
 pages and the site's name masked; a number that is no year matches nothing. A suffix array over the stream finds the runs of tokens that stand on at
 least MIN_PAGES pages; pages that have much of their text in common with an earlier one (the same story delivered again) are no evidence.
 A block that such runs cover, from its opening mark to its closing one, is boilerplate; unique runs stay. Hosts with
-many pages are cut into shards of about SHARD pages, each with an array of its own, since what repeats on a host
-repeats in every shard. Blocks of hosts too small to show a repeat are looked up among the blocks of all hosts: one
+many pages are cut into shards of about SHARD pages, each with an array of its own; whole blocks that stand on
+MIN_PAGES pages of all shards together, copies again left out, go as well. Blocks of hosts too small to show a repeat are looked up among the blocks of all hosts: one
 that stands, masked, on COMMON_PAGES pages of COMMON_HOSTS hosts with ever other text behind it is boilerplate too.
 
 Of a page, the unique run that belongs to the headline (the page's title) is the story: the blocks beside it in its
@@ -27,8 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.nearduplicates import WIDTH, _mix, window_hashes
 from newsloom.session import written
 
+MARKS = 4
 LONG_RUN = 32
 LONG_BLOCK = 130
 MIN_PAGES = 3
@@ -145,24 +147,22 @@ def read_page(source: str) -> Page:
     return page
 
 
-def story_blocks(page: Page, plain: list[bool]) -> list[int]:
-    """Blocks of the run that belongs to the headline; plain[k]: block k is no boilerplate and ends like a sentence."""
+FIRST = 1 << 40  # weight of a set that is taken before any other
+
+
+def story_sets(page: Page, plain: list[bool]) -> dict[int, tuple[int, int]]:
+    """{block: (set, weight)} of the runs that may belong to the headline; the set of most weight is the story, the
+    least of equal ones. plain[k]: block k is no boilerplate and ends like a sentence."""
     if page.headline < 0:
         # no headline: the element with most of the page's own sentences
-        size: dict[int, int] = {}
-        for k, b in enumerate(page.blocks):
-            if plain[k]:
-                size[b.container] = size.get(b.container, 0) + len(b.text)
-        if not size:
-            return []
-        best = max(sorted(size), key=lambda c: size[c])
-        return [k for k, b in enumerate(page.blocks) if plain[k] and b.container == best]
+        return {k: (b.container, len(b.text)) for k, b in enumerate(page.blocks) if plain[k]}
     head = page.blocks[page.headline]
-    beside = [k for k in range(page.headline + 1, len(page.blocks)) if plain[k] and page.blocks[k].container == head.container]
-    if beside:
-        return beside
+    out = {k: (0, FIRST) for k in range(page.headline + 1, len(page.blocks)) if plain[k] and page.blocks[k].container == head.container}
     behind = [e for e in range(head.element + 1, len(page.parent)) if page.parent[e] == page.parent[head.element]]
-    return [k for k in range(page.headline + 1, len(page.blocks)) if plain[k] and behind and page.blocks[k].container == behind[0]]
+    for k in range(page.headline + 1, len(page.blocks)):
+        if plain[k] and behind and page.blocks[k].container == behind[0]:
+            out.setdefault(k, (1, 1))
+    return out
 
 
 def masked(text: str, site: str) -> str:
@@ -241,8 +241,31 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def host_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All sentence-like blocks of one host's (or shard's) pages: (id, field, md5, story, mask, behind)."""
+def _marks(texts: list[str]) -> list[list[int]]:
+    """MARKS minima of the hashes of each text's windows, most of which a small change leaves; none of short texts."""
+    out: list[list[int]] = [[] for _ in texts]
+    joined = "".join(texts)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    good = np.flatnonzero(lengths >= WIDTH)
+    if len(good):
+        h = window_hashes(joined)
+        bounds = np.stack([starts[good], starts[good] + lengths[good] - WIDTH + 1], 1).ravel()
+        minima = []
+        for turn in range(MARKS):
+            g = np.append(_mix(h + np.uint64(turn)), np.uint64(2**64 - 1))
+            minima.append(np.minimum.reduceat(g, bounds)[::2].view(np.int64))
+        for k, m in zip(good, np.stack(minima, 1).tolist()):
+            out[k] = m
+    return out
+
+
+def host_blocks(pdf: pd.DataFrame, sharded: bool = False) -> pd.DataFrame:
+    """All sentence-like blocks of one host's (or shard's) pages.
+
+    (id, field, md5, choice, weight, hash, fixed, chars, behind): choice and weight as in story_sets, null for no story;
+    hash of the masked block; fixed: without a number that is no year; marks: see `_marks`, of shards only; behind:
+    hash of the next block."""
     parsed: list[tuple[int, str, Page | None, list[str], list[str]]] = []
     for key, kind, site, content in zip(pdf["id"], pdf["field"], pdf["site"], pdf["content"]):
         page = read_page(content) if kind == "raw_html" else None
@@ -285,20 +308,39 @@ def host_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     np.add.at(edge, long + run[long], -1)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[: len(stream)] > 0)])
 
+    marks = iter(_marks([m for *_, masks in parsed for m in masks]) if sharded else [])
     rows = []
     for (key, kind, page, texts, _), own, size in zip(parsed, spans, sizes):
         # one run from the opening to the closing mark, or, in blocks longer than any run, long ones without a gap
         dull = [run[a] >= b - a or (run[a] >= LONG_RUN and covered[b] - covered[a] == b - a and run[b - LONG_RUN] >= LONG_RUN) for a, b in own]
         ends = [bool(_END.search(t)) for t in texts]
         plain = [e and not d for e, d in zip(ends, dull)]
-        story = set(story_blocks(page, plain)) if page else {j for j, p in enumerate(plain) if p}
+        story = story_sets(page, plain) if page else {j: (0, 1) for j, p in enumerate(plain) if p}
         for j, t in enumerate(texts):
+            mark = next(marks, None)
             if ends[j]:
                 behind = size[j + 1][0] if j + 1 < len(size) else 0
                 fixed = not any(_variable(w) for w in _NUMBER.findall(t))
-                rows.append((key, kind, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), j in story, size[j][0] if fixed else None, behind))
-    out = pd.DataFrame(rows, columns=["id", "field", "md5", "story", "mask", "behind"])
-    return out.astype({"mask": "Int64"})
+                rows.append((key, kind, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), *story.get(j, (None, None)), size[j][0], fixed, mark, behind))
+    out = pd.DataFrame(rows, columns=["id", "field", "md5", "choice", "weight", "hash", "fixed", "marks", "behind"])
+    return out.astype({"choice": "Int64", "weight": "Int64"})
+
+
+def host_wide(blocks: DataFrame) -> DataFrame:
+    """(host, hash) of the blocks that stand on MIN_PAGES pages of a host, whatever shards these are in.
+
+    Copies, even edited ones, are no evidence: of the pages with a block, those that have a quarter of the marks of
+    their other possible story in common with one earlier of them, and those that have no other."""
+    each = blocks.select("host", F.struct("id", "field").alias("page"), "hash", "fixed", F.col("choice").isNotNull().alias("plain"), "marks")
+    often = each.where("fixed").groupBy("host", "hash").agg(F.countDistinct("page").alias("pages"), F.max("plain").alias("plain")).where((F.col("pages") >= MIN_PAGES) & F.col("plain"))
+    holders = each.where("fixed").join(often.select("host", "hash"), ["host", "hash"], "left_semi").select("host", "hash", "page").distinct()
+    others = holders.join(each.where("plain").select("host", "page", F.col("hash").alias("other"), "marks"), ["host", "page"]).where("other <> hash")
+    others = others.select("host", "hash", "page", F.explode("marks").alias("mark")).distinct()
+    first = others.groupBy("host", "hash", "mark").agg(F.min("page").alias("first"))
+    shared = others.join(first, ["host", "hash", "mark"]).groupBy("host", "hash", "page", "first").agg(F.count("*").alias("common"))
+    most = F.max(F.when(F.col("first") < F.col("page"), F.col("common")).otherwise(0))
+    own = shared.groupBy("host", "hash", "page").agg(most.alias("most"), F.sum("common").alias("rest")).where("most * 4 < rest")
+    return own.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", "hash")
 
 
 def body_blocks(pages: DataFrame) -> DataFrame:
@@ -308,12 +350,19 @@ def body_blocks(pages: DataFrame) -> DataFrame:
     rows = pages.where("content is not null and content <> ''").select("id", "field", F.coalesce("host", F.lit("")).alias("host"), "site", "content")
     shards = pages.where("content is not null").select(F.coalesce("host", F.lit("")).alias("host")).groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / SHARD)).alias("shards"))
     rows = rows.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
-    kind = "id long, field string, md5 string, story boolean, mask long, behind long"
+    kind = "id long, field string, md5 string, choice long, weight long, hash long, fixed boolean, marks array<long>, behind long"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return host_blocks(pdf).assign(host=key[0])
+        sharded = bool(pdf["shards"].iloc[0] > 1)
+        return host_blocks(pdf, sharded).assign(host=key[0], sharded=sharded)
 
-    blocks = written(rows.select("host", "shard", "id", "field", "site", "content").groupBy("host", "shard").applyInPandas(run, kind + ", host string"), "blocks")
-    common = blocks.where("mask is not null").groupBy("mask").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"), F.approx_count_distinct("behind").alias("behinds"))
+    blocks = written(rows.select("host", "shard", "shards", "id", "field", "site", "content").groupBy("host", "shard").applyInPandas(run, kind + ", host string, sharded boolean"), "blocks")
+    common = blocks.where("fixed").groupBy("hash").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"), F.approx_count_distinct("behind").alias("behinds"))
     common = common.where((F.col("n") >= COMMON_PAGES) & (F.col("hosts") >= COMMON_HOSTS) & (F.col("behinds") * 2 >= F.least("n", F.lit(40))))
-    return blocks.where("story").join(common.select("mask"), "mask", "left_anti").select("id", "field", F.col("md5").alias("block_md5")).distinct()
+    story = blocks.where("choice is not null").join(common.select("hash"), "hash", "left_anti")
+    story = story.join(host_wide(blocks.where("sharded")), ["host", "hash"], "left_anti").select("id", "field", "md5", "choice", "weight")
+    # of a page, the set that weighs most without what the other pages took away
+    weighed = story.where("field = 'raw_html'").groupBy("id", "field", "choice").agg(F.sum("weight").alias("weight"))
+    best = weighed.groupBy("id", "field").agg(F.min_by("choice", F.struct(-F.col("weight"), F.col("choice"))).alias("choice"))
+    chosen = story.where("field = 'raw_html'").join(best, ["id", "field", "choice"], "left_semi").unionByName(story.where("field <> 'raw_html'"), allowMissingColumns=True)
+    return chosen.select("id", "field", F.col("md5").alias("block_md5")).distinct()

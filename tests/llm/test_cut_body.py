@@ -69,6 +69,27 @@ def test_bodies(spark):
     assert bp.body_blocks(out.select("id", "field", F.lit("h").alias("host"), F.lit("s").alias("site"), F.lit(None).cast("string").alias("content"))).count() == 0
 
 
+def test_notices_of_a_sharded_host(spark, monkeypatch):
+    """A notice on a few pages of a large host goes, a story delivered again in other shards stays."""
+    monkeypatch.setattr(bp, "SHARD", 3)
+    notice = "Readers of this host may write to the desk at any hour."
+    again = "A long story came again and again " + "with ever the same words of its own and with nothing left out of it, " * 3 + "and so on."
+    own = lambda k, n: " ".join("".join(chr(97 + int(c, 16)) for c in hashlib.md5(f"{k} {j}".encode()).hexdigest()[:7]) for j in range(n))
+    texts = {k: f"{own(k, 12)}.\n{own(-1 - k, 9)}." for k in range(60)}
+    rows = [(k, "clean_text", "big.example", None, t + ("\n" + notice if k % 6 == 0 else "")) for k, t in texts.items()]
+    # delivered again, its other paragraph with a word changed
+    rows += [(100 + k, "clean_text", "big.example", None, again + "\n" + own(500, 25) + f" word{'abcdef'[k]}.") for k in range(6)]
+    # no headline: the notices weigh more than the story until they are known as such
+    rows += [(200 + k, "raw_html", "big.example", None, f"<div><p>Short {w} tale.</p><p>End {w}.</p></div><div><p>{notice}</p><p>{notice}</p></div>") for k, w in enumerate(("qq", "rr"))]
+    got = {}
+    for r in bp.body_blocks(spark.createDataFrame(rows, "id long, field string, host string, site string, content string")).collect():
+        got.setdefault(r["id"], set()).add(r["block_md5"])
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert not any(md5(notice) in v for v in got.values())
+    assert all(md5(again) in got[100 + k] for k in range(6))
+    assert got[200] == {md5("Short qq tale."), md5("End qq.")} and got[0] == {md5(x) for x in texts[0].split("\n")}
+
+
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(3)
     pages = [rng.integers(0, 4, 40).tolist() for _ in range(6)]
