@@ -39,7 +39,7 @@ _SHORT = "sta|inc|ltd|ltda|corp|art|env|abs|млн|мин|руб|prof|approx|apr
 _WEAK_WORD = f"(?iu)(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}])(?:[\\p{{L}}&&[^\\x{{900}}-\\x{{97F}}]]{{1,2}}|{_SHORT})"
 _WEAK_DOT = f"{_WEAK_WORD}\\.$|\\d\\.$"  # an abbreviation or a number before the last dot
 _WIDE = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{0E00}-\\x{0E7F}]"
-TAIL = 200  # an ending and what may stand behind it is never longer
+TAIL = 200  # an ending and what may stand behind it is seldom longer
 WINDOW = 18  # a cut at a word's end is at most so much shorter than its limit
 _FIT = "source_id long, n_chars int, n_bytes int, ending string, posterior double"
 
@@ -56,11 +56,16 @@ def _strip_credit(text: Column, site: Column) -> Column:
 def endings(df: DataFrame, key: str, source: str, text: str, site: str) -> DataFrame:
     """(key, source_id, n_chars, n_bytes, core, ending, mark) of every value that isn't null or blank.
 
-    core: the last TAIL characters without tags, credit, omission marks and remnants at their end. ending: `closed`, `weak` (a dot that
+    The last TAIL characters are looked at, or all where the tags at the end may begin before them.
+    core: what is looked at without tags, credit, omission marks and remnants at their end. ending: `closed`, `weak` (a dot that
     may only end an abbreviation) or `open`. mark: `omitted`, `broken` or empty.
     """
     v = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("long").alias("source_id"), F.rtrim(F.col(f"`{text}`")).alias("__raw"), F.trim(F.col(f"`{site}`")).alias("__site"))
     v = v.where("trim(__raw) <> ''").select("*", F.length("__raw").alias("n_chars"), F.octet_length("__raw").alias("n_bytes"), F.right("__raw", F.lit(TAIL)).alias("__tail"))
+    # a last tag that begins before the tail, whole or cut, or a row of tags that fills it
+    rest = F.regexp_replace("__tail", _TAGS, "")
+    outside = F.when(F.col("__tail").endswith(">"), rest.rlike("^[^<]*>\\s*$") | (F.trim(rest) == "")).otherwise(~F.contains("__tail", F.lit("<")) & F.substring_index("__raw", "<", -1).rlike("^/?[A-Za-z][^<>]*$"))
+    v = v.withColumn("__tail", F.when((F.col("n_chars") > TAIL) & F.contains("__raw", F.lit("<")) & outside, F.col("__raw")).otherwise(F.col("__tail")))
     v = v.withColumn("__v", F.rtrim(F.when(F.col("__tail").endswith(">"), F.regexp_replace("__tail", _TAGS, "")).otherwise(F.col("__tail"))))
     v = v.withColumn("__c", F.rtrim(_strip_credit(F.col("__v"), F.col("__site"))))
     broken = F.col("__c").rlike(_BROKEN)

@@ -30,6 +30,17 @@ def test_truncation(spark):
     assert tr.truncated(df.where("false"), "id", "source_id", "s", "site", full, "rid", "t").count() == 0
 
 
+def test_long_last_tags(spark):
+    long = "x/" * 150
+    values = [
+        f'It is a complete sentence. <a href="https://{long}">', f'It is a complete sentence. <img src="https://{long}', "It is a complete sentence." + "</p> <br/>" * 40,
+        f'<img src="{long}"> ' + "Words go on. " * 20 + "And there.", "a < b and so " + "on it goes " * 30 + "there.",
+    ]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, s string").selectExpr("id", "1L as source", "s", "'Site' as site")
+    got = {r["key"]: (r["core"][-9:], r["ending"], r["mark"]) for r in tr.endings(df, "id", "source", "s", "site").collect()}
+    assert got == {0: ("sentence.", "closed", ""), 1: ("sentence.", "closed", "broken"), 2: ("sentence.", "closed", ""), 3: ("nd there.", "closed", ""), 4: ("es there.", "closed", "")}
+
+
 def test_censored_fit_recovers_the_distribution():
     rng = np.random.default_rng(2)
     x = np.exp(rng.normal(5.0, 0.5, 20_000))
