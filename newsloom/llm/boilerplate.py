@@ -182,6 +182,8 @@ def repeats(tokens: np.ndarray, page: np.ndarray, evidence: np.ndarray, least: i
     A suffix array by prefix doubling; runs shared by neighbouring suffixes come from the ranks of each doubling. Only
     suffixes of pages that are `evidence` count, one for each page.
     """
+    if least != 3:
+        raise ValueError("runs are sought for three pages")
     n = len(tokens)
     levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
     k = 1
@@ -206,20 +208,35 @@ def repeats(tokens: np.ndarray, page: np.ndarray, evidence: np.ndarray, least: i
         return out
 
     best = np.zeros(n, np.int64)
-    pages = page[order]
-    # `least` neighbours in the array of as many pages: what all of them share is what the outer two share
-    for span in range(least - 1, least + 2):
-        if len(order) <= span:
-            break
-        window = np.stack([pages[j : len(pages) - span + j] for j in range(span + 1)], 1)
-        window.sort(axis=1)
-        distinct = 1 + (window[:, 1:] != window[:, :-1]).sum(1)
-        run = np.where(distinct >= least, shared(order[:-span], order[span:]), 0)
-        for j in range(span + 1):
-            np.maximum.at(best, order[j : len(order) - span + j], run)
+    first, second = _others(page[order])
+    last = len(order) - 1
+    up, upper = (np.where(x >= 0, last - x, -1) for x in (y[::-1] for y in _others(page[order][::-1])))
+
+    def run(at: np.ndarray) -> np.ndarray:
+        return np.where(at >= 0, shared(order[np.maximum(at, 0)], order), 0)
+
+    # the nearest suffixes of two other pages: both before, both behind, or one on each side
+    between = (first >= 0) & (up >= 0) & (page[order[first]] != page[order[up]])
+    sides = np.where(between, np.minimum(run(first), run(up)), 0)
+    best[order] = np.maximum(sides, np.maximum(run(second), run(upper)))
     return best
 
 
+def _others(pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of an array of pages, the last place before it of another page, and the last of a third; else -1."""
+    n = len(pages)
+    starts = np.flatnonzero(np.concatenate([[True], pages[1:] != pages[:-1]]))
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    ends = np.append(starts[1:], n) - 1
+    kind = pages[starts]
+    at = np.full(len(starts), -1, np.int64)
+    at[2:] = np.where(kind[2:] != kind[:-2], np.arange(len(starts) - 2), -1)  # else what the run before it has
+    at = np.maximum.accumulate(at)
+    first = np.where(run > 0, ends[run - 1], -1)
+    third = at[run]
+    return first, np.where(third >= 0, ends[third], -1)
+
+
 def _copies(pages: list[list[tuple[int, int]]]) -> list[bool]:
     """Pages of whose long blocks one earlier page has a quarter. pages: [(block hash, its length if long, else 0)]."""
     first: dict[int, int] = {}

@@ -115,3 +115,17 @@ def test_repeats_against_brute_force():
         assert got[i] <= n
         if got[i] < n:  # copies of one page beside each other can hide a longer run
             assert n - got[i] <= 3
+
+
+def test_runs_that_stand_often_on_each_page():
+    rng = np.random.default_rng(8)
+    pages = [[7, 8, 9, 7 if k < 2 else 6] * 6 + rng.integers(20, 24, 20).tolist() for k in range(5)]
+    tokens = np.array([t for k, p in enumerate(pages) for t in [*p, -1 - k]])
+    page = np.repeat(np.arange(5), [len(p) + 1 for p in pages])
+    got = bp.repeats(tokens, page, np.ones(len(tokens), bool), least=3, longest=16)
+    text = tokens.tolist()
+    for i in range(len(text)):
+        n = 0
+        while n < 16 and i + n < len(text) and len({page[j] for j in range(len(text) - n) if text[j : j + n + 1] == text[i : i + n + 1]}) >= 3:
+            n += 1
+        assert min(got[i], 16) == n
