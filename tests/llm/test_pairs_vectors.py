@@ -62,11 +62,66 @@ def test_components(spark):
 
 def test_pivot_distances_bound_the_hamming_distance():
     rng = np.random.default_rng(0)
-    words = rng.integers(0, 2**63, (50, 4), dtype=np.uint64)
-    table = nd.distances(words, nd.choose_pivots(words, 8))
-    for i in range(50):
+    minima = rng.integers(0, 2**57, (40, nd.BITS), dtype=np.uint64)
+    minima[1, : nd.BLOCK] = minima[0, : nd.BLOCK]
+    keys, _ = nd.pivot_coordinates(minima)
+    blocks = np.ascontiguousarray((nd._mix(minima[:, : nd.TABLES * nd.BLOCK]) & np.uint64(0xFFFF)).astype(np.uint16)).view(np.uint64)
+    coords = np.stack([keys >> 7 * r & 127 for r in range(nd.REFERENCES)], 2)
+    for i in range(40):
         for j in range(i):
-            assert np.abs(table[i] - table[j]).max() <= np.bitwise_count(words[i] ^ words[j]).sum()
+            assert (np.abs(coords[i] - coords[j]).max(1) <= np.bitwise_count(blocks[i] ^ blocks[j])).all()
+    assert keys[0, 0] == keys[1, 0] and (keys[0, 1:] != keys[1, 1:]).all() and (keys >> 56 == np.arange(nd.TABLES)).all()
+
+
+def test_without_pivot_tables_nothing_is_found(spark, monkeypatch):
+    rng = random.Random(8)
+    base = story(rng)
+    df = spark.createDataFrame([(k, edited(rng, base, 2)) for k in range(6)], "id long, body string")
+    assert nd.Duplicates(spark, df, "id", ["body"], 0.5).pairs().count() == 15
+    monkeypatch.setattr(nd, "pivot_coordinates", lambda m: (np.random.default_rng().integers(0, 2**56, (len(m), nd.TABLES)), np.zeros((len(m), nd.TABLES * nd.BLOCK), np.uint8)))
+    assert nd.Duplicates(spark, df, "id", ["body"], 0.5).pairs().count() == 0
+
+
+def test_leaves_and_leaders_of_a_sorted_table():
+    keys, steps = np.array([1, 1, 2] + [5] * 40 + [9] * 20), np.zeros(63, np.int64)
+    steps[43:] = np.arange(20) // 10 << 56
+    first, second, leader = nd.neighbours_in_order(keys, steps, 16)
+    pairs = set(zip(first.tolist(), second.tolist()))
+    assert (0, 1) in pairs and not any(a == 2 or b == 2 for a, b in pairs)
+    assert {(3, k) for k in range(4, 43)} <= pairs and (leader[3:43] == 3).all() and (leader[43:] == -1).all()
+    assert {(43 + i, 43 + j) for h in (0, 10) for i in range(h, h + 10) for j in range(i + 1, h + 10)} <= pairs
+    assert len(first) <= 63 * (16 + nd.STEPS)
+    assert all(len(x) == 0 for x in nd.neighbours_in_order(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+def test_work_grows_with_a_group_of_thousands(spark):
+    """A group of 5000 records: candidates in proportion to its records, one group, whatever bounds cut its nodes."""
+    rng = random.Random(6)
+    base = story(rng, 60)
+    df = spark.createDataFrame([(k, f"{base} {k} {rng.randint(0, 10**9)}") for k in range(5000)], "id long, body string")
+    records = nd.Records(spark, df, "id", ["body"])
+    seen = nd._candidates(records.heads, nd.radius(0.5)).count()
+    assert seen <= 5000 * nd.TABLES * (nd.LEAF / 2 + nd.STEPS)
+    found = nd.Duplicates(spark, df, "id", ["body"], 0.5)
+    assert found.groups().select("group_id").distinct().count() == 1 and found.groups().count() == 5000
+
+
+def test_stories_in_a_crowd_that_shares_a_template(spark):
+    """Dissimilar stories in one template: the true pairs among them are found, in few and in many partitions."""
+    rng = random.Random(7)
+    template = story(rng, 60)
+    rows = [(k, f"{template} {story(rng, 90)}") for k in range(600)]
+    rows += [(1000 + k, edited(rng, rows[k][1], 3)) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    want = brute(rows, 0.5)
+    assert len(want) >= 60
+    for size in (nd.ROWS, 500):
+        whole, nd.ROWS = nd.ROWS, size
+        try:
+            got = {(r["id_a"], r["id_b"]) for r in nd.Duplicates(spark, df, "id", ["body"], 0.5).pairs().collect()}
+        finally:
+            nd.ROWS = whole
+        assert got <= want and len(got) >= 0.99 * len(want)
 
 
 def test_parsing():
