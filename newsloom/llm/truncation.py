@@ -4,14 +4,19 @@ Two kinds of evidence meet in one log-odds for every value.
 
 Lengths. For each source, the lengths of its values are fitted by maximum likelihood with a log-normal distribution in
 which values without a proper ending near a candidate limit are right-censored there (only known to have been at least
-that long). Limits in characters and in UTF-8 bytes are tried; a candidate is a length at which more values without an
-ending pile up than the fit explains. A value's censoring posterior is the share of the censored mass in all that the
-fit expects at its length. Sources are fitted from a histogram of (length, kind of ending), never from their rows.
+that long). Limits in characters and in UTF-8 bytes are tried, as many as the source has: a candidate is a length at
+which more values without an ending pile up than chance explains (see `_limits`), however small their share. A value's
+censoring posterior is the share of the censored mass in all that the fit expects at its length. Sources are fitted
+from a histogram of (length, kind of ending), never from their rows.
 
 Endings. A terminal mark, with closing quotes, tags or a credit behind it, is an ending, unless the dot only ends an
 abbreviation or stands in a number; marks of omission and broken remnants (half a tag or entity, a replacement
-character) are set aside first. Where the full text is known, the text after the value's last words tells whether the
-sentence goes on. Elsewhere the last word does, by how often it ends a sentence over all values.
+character) are set aside first. Three things are settled by what a cut is: a value with an ending is whole unless its
+text is seen to go on within the sentence, a value is whole whose sentence is seen to end there in the full text, and an
+unfinished sentence is cut that has a broken remnant behind it, or a mark of omission which the full text confirms. All other values fall into kinds of ending: form, mark, whether the full text
+goes on, and where that isn't known how often the last word ends a sentence over all values. What a kind says is its
+likelihood ratio, estimated from the values themselves by expectation-maximisation (`likelihood_ratios`): the censoring
+posteriors, and a full text that goes on, are the first guess of which values are cut; the posteriors stay their prior odds to the end. No weight is set by hand.
 
 Null and blank values are no cases. Values of rows without a source are fitted together. Values are handled whole.
 Repeated rows get equal results; `key` should be unique.
@@ -39,6 +44,7 @@ _SHORT = "sta|inc|ltd|ltda|corp|art|env|abs|млн|мин|руб|prof|approx|apr
 _WEAK_WORD = f"(?iu)(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}])(?:[\\p{{L}}&&[^\\x{{900}}-\\x{{97F}}]]{{1,2}}|{_SHORT})"
 _WEAK_DOT = f"{_WEAK_WORD}\\.$|\\d\\.$"  # an abbreviation or a number before the last dot
 _WIDE = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{0E00}-\\x{0E7F}]"
+CHANCE = 0.01  # that a pile of values is none
 TAIL = 200  # an ending and what may stand behind it is seldom longer
 WINDOW = 18  # a cut at a word's end is at most so much shorter than its limit
 _FIT = "source_id long, n_chars int, n_bytes int, ending string, posterior double"
@@ -112,35 +118,47 @@ def censored_fit(exact: dict[int, int], limit: float, censored: int, rounds: int
     return mu, sd
 
 
+def _unlikely(count: float, expected: float) -> float:
+    """Upper bound of the log probability that a Poisson number of mean `expected` reaches `count` (Chernoff)."""
+    return 0.0 if count <= expected else count - expected - count * log(count / max(expected, 1e-9))
+
+
 def _limits(lengths: np.ndarray, n: np.ndarray, loose: np.ndarray) -> list[tuple[int, int]]:
     """Candidate (limit, window): lengths where values without an ending pile up. A strict pile fills one or two
-    lengths just below the limit, a loose one (cut at word ends) the WINDOW below it."""
+    lengths just below the limit, a loose one (cut at word ends) the WINDOW below it.
+
+    A pile counts if chance, at the density of such values around it, would make one anywhere with probability under
+    CHANCE. Piles are taken one by one, the least likely first, without the values of those before."""
     total = float(n[loose].sum())
     if total < 3:
         return []
     counts = np.zeros(int(lengths.max()) + 5)
     np.add.at(counts, lengths[loose], n[loose])
-    run = np.concatenate([[0], np.cumsum(counts)])
     out = []
-    for width in (3, WINDOW):
-        ends = np.arange(width, len(counts))
-        mass = run[ends + 1] - run[ends + 1 - width]
-        best = int(mass.argmax())
-        # the pile must stand out against the same width below it
-        limit = int(ends[best])
-        below = run[max(0, limit + 1 - width)] - run[max(0, limit + 1 - 2 * width)]
-        if mass[best] >= max(3, 0.15 * float(n.sum())) and mass[best] > 3 * below:
-            while limit > 0 and counts[limit] == 0:
-                limit -= 1
-            out.append((limit, width))
-    return out
+    while True:
+        run = np.concatenate([[0], np.cumsum(counts)])
+        best = (log(CHANCE), 0, 0)
+        for width in (3, WINDOW):
+            ends = np.flatnonzero(counts > 0)
+            ends = ends[ends >= width]
+            mass = run[ends + 1] - run[ends + 1 - width]
+            low, high = np.maximum(0, ends + 1 - 5 * WINDOW), np.minimum(len(counts), ends + 1 + 4 * WINDOW)
+            around = np.maximum(run[high] - run[low] - mass, 1.0) / np.maximum(high - low - width, 1) * width
+            for k in np.flatnonzero((mass >= 3) & (mass > 3 * around)):
+                chance = _unlikely(float(mass[k]), float(around[k])) + log(len(counts) / width + 1)
+                if chance < best[0]:
+                    best = (chance, int(ends[k]), width)
+        if not best[1]:
+            return out
+        out.append(best[1:])
+        counts[best[1] + 1 - best[2] : best[1] + 1] = 0
 
 
 def fit_source(hist: pd.DataFrame) -> pd.DataFrame:
-    """Censoring posteriors of one source's histogram (source_id, n_chars, n_bytes, ending, n)."""
+    """Censoring posteriors of one source's histogram (source_id, n_chars, n_bytes, ending, n); null where no limit is near."""
     loose = (hist["ending"] == "loose").to_numpy()
     n = hist["n"].to_numpy()
-    posterior = np.full(len(hist), 0.02)
+    posterior = np.zeros(len(hist))
     for column in ("n_chars", "n_bytes"):
         lengths = hist[column].to_numpy()
         for limit, width in _limits(lengths, n, loose):
@@ -149,19 +167,38 @@ def fit_source(hist: pd.DataFrame) -> pd.DataFrame:
             for k, v in zip(lengths[~near], n[~near]):
                 exact[int(k)] = exact.get(int(k), 0) + int(v)
             mu, sd = censored_fit(exact, limit, int(n[near].sum()))
-            # the share of all values that end here because of the limit, by the counts and by the fit
-            all_ = float(n.sum())
-            mass = float(n[near].sum()) / all_
-            above = 1 - _normal((log(max(limit, 2)) - mu) / sd)
-            censor = max(mass, min(above, 0.99)) / width
-            for k in np.flatnonzero((lengths <= limit) & (lengths > limit - width)):
-                p = censor / (censor + (1 - mass) * _density(float(lengths[k]), mu, sd))
+            # the share of all values that end here because of the limit, by the counts
+            mass = float(n[near].sum()) / float(n.sum())
+            for k in np.flatnonzero(near):
+                p = mass / width / (mass / width + (1 - mass) * _density(float(lengths[k]), mu, sd))
                 posterior[k] = max(posterior[k], min(p, 0.995))
     out = hist[["source_id", "n_chars", "n_bytes", "ending"]].copy()
-    out["posterior"] = np.where(loose, posterior, posterior * 0.05)
+    out["posterior"] = np.where(loose & (posterior > 0), posterior, np.nan)
     return out
 
 
+def likelihood_ratios(counts: list[tuple[str, float | None, int]], rounds: int = 60) -> tuple[dict[str, float], float]:
+    """({kind: log likelihood ratio of cut against whole}, share of cut values away from any limit).
+
+    counts: [(kind of ending, censoring posterior or None, values)]; values that are settled have the kind `cut` or
+    `whole`. Expectation-maximisation of a mixture of cut and whole values: the posterior is a value's prior; where
+    there is none, a common share, which is estimated too."""
+    kinds = sorted({k for k, _, _ in counts})
+    at = np.array([kinds.index(k) for k, _, _ in counts], np.int64)
+    prior = np.array([np.nan if p is None else p for _, p, _ in counts], float)
+    n = np.array([float(c) for _, _, c in counts])
+    away = np.isnan(prior)
+    share, ratio = 0.1, np.array([3.0 if k.endswith(" on") else 0.0 for k in kinds])  # a first guess only
+    for _ in range(rounds if len(n) else 0):
+        p = np.clip(np.where(away, share, prior), 1e-6, 1 - 1e-6)
+        odds = np.log(p / (1 - p)) + ratio[at]
+        cut_ = np.where([k == "cut" for k, _, _ in counts], 1.0, np.where([k == "whole" for k, _, _ in counts], 0.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50)))))
+        of_cut, of_whole = np.bincount(at, n * cut_, len(kinds)) + 0.5, np.bincount(at, n * (1 - cut_), len(kinds)) + 0.5
+        ratio = np.log(of_cut / of_cut.sum()) - np.log(of_whole / of_whole.sum())
+        share = float(np.clip((n * cut_)[away].sum() / max(n[away].sum(), 1.0), 0.001, 0.999))
+    return dict(zip(kinds, ratio.tolist())), share
+
+
 def censoring(ended: DataFrame) -> DataFrame:
     """(source_id, n_chars, n_bytes, ending, posterior) from the values' histogram; ending: `loose` or `closed`."""
     kind = F.when((F.col("ending") == "closed") & (F.col("mark") == ""), "closed").otherwise("loose")
@@ -222,20 +259,19 @@ def truncated(df: DataFrame, key: str, source: str, text: str, site: str, full:
     ends = word_ends(df.select(F.col(f"`{text}`").alias("text")).where("trim(text) <> ''"), guess.select("word"))
     judged = judged.join(ends, "word", "left")
     rate = (F.coalesce("ends", F.lit(0)) + 0.02) / (F.coalesce("seen", F.lit(0)) + 1.0)
-    by_word = F.when(F.col("word") == "", -1.0).otherwise(F.least(F.lit(4.0), F.greatest(F.lit(-4.0), -F.log(rate / 0.06))))
-    ending = (
-        F.when(F.col("goes_on") == 1, 9.0)
-        .when(F.col("goes_on") == 0, -9.0)
-        .when(F.col("ending") == "closed", -9.0)
-        .when(F.col("mark") == "broken", 9.0)
-        .when(F.col("mark") == "omitted", 6.0)
-        .otherwise(by_word * 1.5)
-    )
-    fits = censoring(ended)
-    judged = judged.select("key", F.coalesce("source_id", F.lit(-1).cast("long")).alias("source_id"), "n_chars", "n_bytes", "ending", "mark", ending.alias("evidence"))
-    judged = judged.join(fits.where("ending = 'loose'").drop("ending"), ["source_id", "n_chars", "n_bytes"], "left").withColumn("posterior", F.coalesce("posterior", F.lit(0.02)))
-    odds = F.log(F.col("posterior") / (1 - F.col("posterior"))) + F.lit(2.0) + F.col("evidence")
+    by_word = F.when(F.col("word") == "", "none").otherwise(F.round(F.greatest(F.lit(-6.0), F.log(rate)), 0).cast("int").cast("string"))
+    follows = F.when(F.col("goes_on") == 1, "on").otherwise(F.when((F.col("ending") == "open") & (F.col("mark") == ""), by_word).otherwise("?"))
+    settled = F.when((F.col("goes_on") == 0) | ((F.col("ending") == "closed") & F.col("goes_on").isNull()), False).when((F.col("ending") == "open") & ((F.col("mark") == "broken") | ((F.col("mark") == "omitted") & (F.col("goes_on") == 1))), True)
+    fits = censoring(ended).where("ending = 'loose' and posterior is not null and not isnan(posterior)").drop("ending")
+    judged = judged.select("key", F.coalesce("source_id", F.lit(-1).cast("long")).alias("source_id"), "n_chars", "n_bytes", "ending", "mark", settled.alias("settled"), F.concat_ws(" ", "ending", "mark", follows).alias("kind"))
+    judged = cut(judged.join(fits, ["source_id", "n_chars", "n_bytes"], "left"))
+    sure = ended.where("ending = 'closed' and mark = ''").select("key", F.coalesce("source_id", F.lit(-1).cast("long")).alias("source_id"), F.lit(False).alias("truncated"), F.lit(float("-inf")).alias("log_odds"), F.lit(0.0).alias("posterior"), "ending", "mark")
+    kind = F.when(F.col("settled"), "cut").when(~F.col("settled"), "whole").otherwise(F.col("kind"))
+    counts = judged.groupBy(kind.alias("kind"), F.round("posterior", 2).alias("p")).agg(F.count("*").alias("n")).collect()  # kinds of ending by hundredths: some thousand rows at most
+    ratios, share = likelihood_ratios([(r["kind"], r["p"], r["n"]) for r in counts] + [("whole", None, sure.count())])
+    table = judged.sparkSession.createDataFrame(sorted(ratios.items()), "kind string, ratio double")
+    judged = judged.join(F.broadcast(table), "kind", "left").withColumn("posterior", F.coalesce("posterior", F.lit(share)))
+    odds = F.when(~F.col("settled"), float("-inf")).when(F.col("settled"), float("inf")).otherwise(F.log(F.col("posterior") / (1 - F.col("posterior"))) + F.col("ratio"))
     judged = judged.select("key", "source_id", (odds > 0).alias("truncated"), odds.alias("log_odds"), "posterior", "ending", "mark")
-    sure = ended.where("ending = 'closed' and mark = ''").select("key", F.coalesce("source_id", F.lit(-1).cast("long")).alias("source_id"), F.lit(False).alias("truncated"), F.lit(-9.0).alias("log_odds"), F.lit(0.0).alias("posterior"), "ending", "mark")
     both = judged.unionByName(sure)
     return both.select(F.col("key").alias(key), F.nullif("source_id", F.lit(-1).cast("long")).alias("source_id"), "truncated", "log_odds", "posterior", "ending", "mark")

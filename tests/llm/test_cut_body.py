@@ -51,6 +51,40 @@ def test_censored_fit_recovers_the_distribution():
     assert abs(mu - 5.0) < 0.05 and abs(sd - 0.5) < 0.05
 
 
+def test_limits_of_small_share_and_several_of_one_source():
+    rng = np.random.default_rng(3)
+    lengths = np.exp(rng.normal(5.2, 0.6, 2000)).astype(int).clip(5)
+    plain = np.arange(1, lengths.max() + 1)
+    n = np.bincount(lengths, minlength=len(plain) + 1)[1:]
+    loose = np.zeros(len(plain) * 2, bool)
+    loose[len(plain) :] = True
+    open_ = np.bincount(lengths[:100], minlength=len(plain) + 1)[1:]  # values without a full stop, at any length
+    assert tr._limits(np.tile(plain, 2), np.concatenate([n, open_]), loose) == []
+    open_[[119, 299]] += [60, 40]
+    (a, wa), (b, wb) = sorted(tr._limits(np.tile(plain, 2), np.concatenate([n, open_]), loose))
+    assert 120 <= a <= 121 and 300 <= b <= 301 and wa == wb == 3  # a chance value beside the pile may be taken with it
+
+
+def test_ratios_are_learnt_from_the_posteriors():
+    counts = [("open on", 0.99, 300), ("open 1", 0.99, 200), ("open 1", None, 5), ("open 2", None, 90), ("open 2", 0.5, 4), ("open on", None, 6), ("whole", None, 2000), ("cut", None, 10)]
+    ratios, share = tr.likelihood_ratios(counts)
+    assert ratios["open on"] > 4 and ratios["open 1"] > 4 and ratios["open 2"] < 0 and share < 0.05
+    assert tr.likelihood_ratios([])[0] == {}
+
+
+def test_without_posteriors_cuts_are_lost(spark, monkeypatch):
+    """Without full texts the censoring posterior carries the decision."""
+    rows = [(k, 1 + k % 2, sentences(k)[: 60 if k % 2 == 0 else None].rstrip(), "Site") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, source_id long, s string, site string")
+    none = spark.createDataFrame([], "rid long, t string")
+    cut_ = lambda: {r["id"] for r in tr.truncated(df, "id", "source_id", "s", "site", none, "rid", "t").where("truncated").collect()}
+    got = cut_()
+    assert len([k for k in got if k % 2 == 0]) > 130 and not [k for k in got if k % 2]
+    fit = tr.fit_source
+    monkeypatch.setattr(tr, "fit_source", lambda h: fit(h).assign(posterior=float("nan")))
+    assert len(cut_()) < 15
+
+
 PAGE = """<html><head><title>Head {k} | Site</title><style>p{{}}</style></head><body><nav><a>Home</a> <a>World</a></nav>
 <div style="display:none"><p>Hidden text {k} is here.</p></div><!-- <p>No.</p> --><article><h1>Head {k}</h1><p>Story {a} begins <b>well</b> &amp; goes on.</p>
 <p>Advertisement. The story continues below.</p><p>Second part {b} of the story ends here.</p><figure><figcaption>A caption {k} stands alone.</figcaption></figure></article>
