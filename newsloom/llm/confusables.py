@@ -23,14 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters that look alike, as Latin, Cyrillic, Greek; - where a script has none.
+# Letters that look alike, as Latin, Cyrillic, Greek, Armenian, Cherokee; - where a script has none.
 LOOKALIKES = (
-    "A А Α,B В Β,C С -,E Е Ε,H Н Η,I І Ι,J Ј -,K К Κ,M М Μ,N - Ν,O О Ο,P Р Ρ,S Ѕ -,T Т Τ,X Х Χ,Y У Υ,Z - Ζ,"
-    "a а -,c с -,d ԁ -,e е -,h һ -,i і -,j ј -,o о ο,p р ρ,q ԛ -,s ѕ -,v ѵ ν,w ԝ -,x х -,y у -"
+    "A А Α - Ꭺ,B В Β - Ᏼ,C С - - Ꮯ,D - - - Ꭰ,E Е Ε - Ꭼ,G - - - Ꮐ,H Н Η - Ꮋ,I І Ι - -,J Ј - - Ꭻ,K К Κ - Ꮶ,L - - Լ Ꮮ,M М Μ - Ꮇ,N - Ν - -,"
+    "O О Ο Օ -,P Р Ρ - Ꮲ,R - - - Ꭱ,S Ѕ - Տ Ꮪ,T Т Τ - Ꭲ,U - - Ս -,V - - - Ꮩ,W - - - Ꮃ,X Х Χ - -,Y У Υ - -,Z - Ζ - Ꮓ,"
+    "a а - - -,c с - - -,d ԁ - - -,e е - - -,g - - ց -,h һ - հ -,i і - - -,j ј - յ -,n - - ո -,o о ο օ -,p р ρ - -,q ԛ - զ -,s ѕ - - -,u - υ ս -,v ѵ ν - -,w ԝ - - -,x х - - -,y у - - -"
 )
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
 # Letters of one script that look alike in print, each with the letter used for it.
-SAME_SCRIPT = {"ک": "ك", "ی": "ي", "ھ": "ه", "ە": "ه", "ı": "ı"}
+SAME_SCRIPT = {"ک": "ك", "ی": "ي", "ھ": "ه", "ە": "ه"}
 
 _INVISIBLE = re.compile(
     "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]"

@@ -27,7 +27,7 @@ BLOCK_TOKENS = 4096
 LARGE_TOKENS = 2048
 SEED = 17
 _BITS = 48
-_SCHEMA = "position long, source string, doc_id long, repeat_no long, tokens long"
+_SCHEMA = "position long, place long, source string, doc_id long, repeat_no long, tokens long"
 
 
 def _targets(targets: DataFrame) -> DataFrame:
@@ -66,7 +66,9 @@ def schedule(n: int, spark, names: list[str], shares: list[float]) -> DataFrame:
 
 
 def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(position, source, doc_id, repeat_no, tokens) in the order of `position`; `sized` has doc_id, source, tokens."""
+    """(position, place, source, doc_id, repeat_no, tokens) in the order of (position, place); `sized` has doc_id, source, tokens.
+
+    position: the slot of the document's block; place: the token of the block at which the document begins."""
     spark = sized.sparkSession
     docs = sized.where("tokens > 0 and source is not null").select("doc_id", "source", F.col("tokens").cast("long").alias("tokens"))
     docs = cut(docs.join(_targets(targets), "source").withColumn("h", F.xxhash64("doc_id", F.lit(SEED))))
@@ -86,7 +88,7 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, b
     small = _take(docs.where(~_large()), {r["source"]: (need[r["source"]] - taken.get(r["source"], 0), r["have"] - r["large"]) for r in rows if r["have"] > r["large"]}, spark)
     used = large.unionByName(small).withColumn("b", F.col("repeat_no") * buckets + F.col("b"))
     used = running(used, ["source"], "b", ["h", "doc_id", "tokens"], "at", "tokens")
-    used = used.select("source", "doc_id", "repeat_no", "tokens", F.floor(F.col("at") / block_tokens).cast("long").alias("block"))
+    used = used.select("source", "doc_id", "repeat_no", "tokens", F.floor(F.col("at") / block_tokens).cast("long").alias("block"), (F.col("at") % block_tokens).alias("place"))
 
     shares = [need[r["source"]] / sum(need.values()) for r in rows]
     blocks = sum(need.values()) / block_tokens
@@ -96,7 +98,7 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, b
     placed = used.join(numbered.select("source", "block", "slot"), ["source", "block"], "left")
     last = F.lit(n).cast("long") + F.col("block")
     position = F.coalesce(F.col("slot"), last)
-    return placed.select(position.alias("position"), "source", "doc_id", "repeat_no", "tokens")
+    return placed.select(position.alias("position"), "place", "source", "doc_id", "repeat_no", "tokens")
 
 
 def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -115,5 +115,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
 
 
 def split_items(packed: DataFrame, key: str) -> DataFrame:
-    """(key) of the items that were split, as the packing has them."""
-    return packed.where("piece_no > 0").select(key).distinct()
+    """(key) of the items that the packing put into several containers because they exceed one."""
+    of = packed.where("container_id is not null").groupBy(key, "piece_no").agg(F.min("container_id").alias("first"), F.max("container_id").alias("last"))
+    whole = of.groupBy(key).agg(F.max("piece_no").alias("piece_no"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return whole.where("piece_no > 0 and first <> last").select(key)

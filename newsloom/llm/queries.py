@@ -15,7 +15,7 @@ from newsloom.llm.packing import pack, split_items
 from newsloom.llm.sentences import sentences
 from newsloom.llm.tokens import token_count
 from newsloom.llm.truncation import truncated
-from newsloom.session import table
+from newsloom.session import cut, table
 
 
 def _language_inputs(spark: SparkSession, sf_dir: str):
@@ -150,31 +150,36 @@ def p7_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"recall": F.try_divide(F.col("found"), F.col("neighbours")), "close_recall": F.try_divide(F.col("close_found"), F.col("close_neighbours"))})
 
 
-def _capacity(spark: SparkSession, sf_dir: str) -> int:
-    """The capacity of the first spec; 4096 where there is none."""
-    spec = table(spark, sf_dir, "pack_specs").where("capacity_tokens > 0").orderBy("spec_id").first()  # a table of settings
-    return spec["capacity_tokens"] if spec else 4096
-
-
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, piece_no, first_token, size, container_id): the container of every document or piece."""
-    return pack(_sized(spark, sf_dir), "doc_id", "tokens", _capacity(spark, sf_dir))
+    """(spec_id, doc_id, piece_no, first_token, size, container_id): for every spec, the container of every document or piece."""
+    specs = table(spark, sf_dir, "pack_specs").where("capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id", "capacity_tokens").collect()  # a table of settings
+    sized = _sized(spark, sf_dir)
+    if len(specs) > 1:
+        sized = cut(sized)
+    out = None
+    for s in specs:
+        packed = pack(sized, "doc_id", "tokens", s["capacity_tokens"]).select(F.lit(s["spec_id"]).cast("int").alias("spec_id"), "doc_id", "piece_no", "first_token", "size", "container_id")
+        out = packed if out is None else out.unionByName(packed)
+    return spark.createDataFrame([], "spec_id int, doc_id long, piece_no long, first_token long, size long, container_id long") if out is None else out
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id): documents that alone exceed the capacity, as the packing splits them."""
-    return split_items(p8_containers(spark, sf_dir), "doc_id")
+    """(doc_id): documents that alone exceed a capacity, those that the packing splits into several containers."""
+    packed = p8_containers(spark, sf_dir).withColumn("item", F.struct("spec_id", "doc_id"))
+    return split_items(packed, "item").select("item.doc_id").distinct()
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(containers, tokens, fill): how full the containers are."""
+    """(containers, tokens, fill): how full the containers of all specs are."""
     used = p8_containers(spark, sf_dir).where("container_id is not null")
-    total = used.agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
-    return total.withColumn("fill", F.try_divide(F.col("tokens"), F.col("containers") * _capacity(spark, sf_dir)))
+    capacity = table(spark, sf_dir, "pack_specs").where("capacity_tokens > 0").groupBy("spec_id").agg(F.max("capacity_tokens").alias("capacity"))
+    per = used.groupBy("spec_id", "container_id").agg(F.sum("size").alias("size")).join(F.broadcast(capacity), "spec_id")
+    total = per.agg(F.count("*").alias("containers"), F.sum("size").alias("tokens"), F.sum("capacity").alias("room"))
+    return total.select("containers", "tokens", F.try_divide(F.col("tokens"), F.col("room")).alias("fill"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(position, source, doc_id, repeat_no, tokens): the chosen documents with their repeats, in mixed order."""
+    """(position, place, source, doc_id, repeat_no, tokens): the chosen documents with their repeats, in the order (position, place)."""
     return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 2000
 _LINE = re.compile("[^\n\r\x0b\x0c\x85  ]+")
-_MARKS = re.compile(r"[.!?…。！？।؟۔．]+")
-_WIDE = frozenset("。！？．")
+_MARKS = re.compile(r"[.!?…。！？।॥؟۔．։።፧។៕။᙮]+")
+_WIDE = frozenset("。！？．។៕။")
 _MARKER = re.compile(r"\s*(?:\(?\d{1,3}[.)]|[A-Za-z][.)]|[•·*–-])\s+")
 _BEFORE = re.compile(r"(?:\d+[.,:])*[^\s“”„«»‹›「」『』\"()\[\]（）—–,;:،؛]*$")
 _NEXT = re.compile(r"\s*([—–-]?)\s*([“„«‹「『\"'‘(\[（¿¡]*)\s*(\w*)", re.UNICODE)
@@ -67,6 +67,10 @@ Judge K. L. Moore, Judge D. K. Wood and M. J. K. Durand came.¶ Le juge B. K. Mo
 “快走！”路边的司机叫道。¶“谁去？我不去。”老师说。¶市长说：「还有三天。」¶周一，大家同意了。
 「待って！」と男が叫んだ。¶「なぜですか。だれも知りません。」と店員は話した。¶市長は「時間がある。」と述べた。¶会議は終わった。¶雨だ！¶だれですか？¶静かだ…¶夜になった……¶朝が来た。
 「早く！」と子どもが言った。¶彼女は「もう遅い。」と付け加えた。¶先生（A. B.）は来た。¶「だれ？」と彼は聞いた。
+Նա եկավ։¶ Մենք գնացինք տուն։¶ Ի՞նչ եղավ այնտեղ։¶ Ոչինչ։¶ Հետո նրանք խոսեցին։
+እሱ መጣ።¶ እኛ ወደ ቤት ሄድን።¶ ማን አለ፧¶ ማንም የለም።¶ ከዚያ ተነሱ።
+គាត់មក។¶ យើងទៅផ្ទះ។¶ គ្មានអ្វីទេ។¶ពួកគេនិយាយ។
+သူလာသည်။¶ ငါတို့အိမ်သွားသည်။¶ ဘာမှမရှိပါ။¶သူတို့ပြောသည်။
 """
 
 
@@ -93,7 +97,7 @@ def _spans(line: str) -> tuple[list[tuple[int, int, bool]], set[int]]:
 
 def _script(c: str) -> str:
     o = ord(c) if c else 0
-    for name, low, high in (("latin", 0x41, 0x24F), ("cyrillic", 0x400, 0x52F), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF)):
+    for name, low, high in (("latin", 0x41, 0x24F), ("cyrillic", 0x400, 0x52F), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("armenian", 0x530, 0x58F), ("thai", 0xE00, 0xE7F), ("myanmar", 0x1000, 0x109F), ("ethiopic", 0x1200, 0x139F), ("khmer", 0x1780, 0x17FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF)):
         if low <= o <= high:
             return name
     return "other"
