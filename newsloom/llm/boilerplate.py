@@ -3,13 +3,16 @@
 Host suffix array. The pages of a host become one stream of tokens, block by block, with marks between blocks and
 pages and the site's name masked; a number that is no year matches nothing. A suffix array over the stream finds the runs of tokens that stand on at
 least MIN_PAGES pages; pages that have much of their text in common with an earlier one (the same story delivered again) are no evidence.
-A block that such runs cover, from its opening mark to its closing one, is boilerplate; unique runs stay. Hosts with
-many pages are cut into shards of about SHARD pages, each with an array of its own; whole blocks that stand on
+A block that such runs cover, from its opening mark to its closing one, is boilerplate; unique runs stay. Hosts of more
+than SHARD_BYTES are cut into shards of about that size, each with an array of its own; whole blocks that stand on
 MIN_PAGES pages of all shards together, copies again left out, go as well. Blocks of hosts too small to show a repeat are looked up among the blocks of all hosts: one
 that stands, masked, on COMMON_PAGES pages of COMMON_HOSTS hosts with ever other text behind it is boilerplate too.
 
 Of a page, the unique run that belongs to the headline (the page's title) is the story: the blocks beside it in its
-element, or in the element right behind it. Of a text, the unique lines are. Both must end like sentences.
+element, or in the element right behind it. Of a text, the unique lines are. Headings, bylines and captions are unique
+too; they are told from prose by how they end (`reading`): prose ends like a sentence, or is a long block of a script that
+has no such marks, or a long block that leads on (a colon, say) to prose behind it; the items of a list that such a block leads to
+are prose as well.
 
 Null and empty pages have no blocks; a page may have none. Broken markup is read as far as it goes. Pages are read
 whole. Repeated rows give repeated blocks. Rows without a host share one.
@@ -28,23 +31,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.nearduplicates import WIDTH, _mix, window_hashes
-from newsloom.session import written
+from newsloom.session import cut, written
 
 MARKS = 4
 LONG_RUN = 32
 LONG_BLOCK = 130
 MIN_PAGES = 3
-SHARD = 3000
+SHARD_BYTES = 4 << 20
 COMMON_PAGES = 8
 COMMON_HOSTS = 4
 INLINE = frozenset("a abbr b big cite code em font i label mark q s small span strike strong sub sup time u wbr img".split())
-SILENT = frozenset("script style noscript template svg iframe head".split())
+SILENT = frozenset("script style noscript template svg iframe head title".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
 _END = re.compile("[.!?。！？।؟۔…][\"'”’“»›」』)\\]）】\\s]*$")
+_LEADS = re.compile("[:;,：；，、،؛][\"'”’“»›」』)\\]）】\\s]*$")
+_ITEM = re.compile(r"\s*(?:[-•·*–—‣▪]|\(?\d{1,3}[.)])\s+\S")
+_UNMARKED = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff]")  # Thai, Lao, Tibetan, Myanmar, Khmer
+UNMARKED_LEAST = 40  # characters of a block of prose in these scripts
+LEADING_WORDS = 8  # of a block that leads on
 _WORD = re.compile(r"\w+|[^\w\s]")
 _NUMBER = re.compile(r"\d+")
+_DIGIT = re.compile(r"\d")
 _YEAR = re.compile(r"(?:19|20)\d\d$")
 
 
@@ -60,6 +69,7 @@ class Page:
     title: str = ""
     blocks: list[Block] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)  # of each element
+    names: list[str] = field(default_factory=list)  # of each element
     headline: int = -1  # the headline's block
 
 
@@ -74,6 +84,7 @@ def read_page(source: str) -> Page:
     page.title = squeeze(html.unescape(m[1])) if m else ""
     stack: list[tuple[str, int]] = [("", 0)]
     page.parent.append(-1)
+    page.names.append("")
     buffer: list[str] = []
     silent: str | None = None
     hidden: int | None = None  # depth of the stack at which hidden text began
@@ -127,6 +138,7 @@ def read_page(source: str) -> Page:
                     break
         stack.append((name, len(page.parent)))
         page.parent.append(stack[-2][1])
+        page.names.append(name)
         if hidden is None and _HIDDEN.search(m[3]):
             hidden = len(stack) - 1
     flush()
@@ -147,21 +159,43 @@ def read_page(source: str) -> Page:
     return page
 
 
+def reading(texts: list[str], follows: list[int]) -> list[bool]:
+    """Which blocks read like prose. follows[k]: the block behind block k in its element, or the first item of the list
+    there, else -1."""
+    out = [bool(_END.search(t)) or len(t) >= UNMARKED_LEAST and 2 * len(_UNMARKED.findall(t)) > len(t) for t in texts]
+    for k in range(len(texts) - 1, -1, -1):
+        if not out[k] and follows[k] >= 0 and _LEADS.search(texts[k]) and len(texts[k].split()) >= LEADING_WORDS:
+            out[k] = out[follows[k]] or bool(_ITEM.match(texts[follows[k]])) or len(texts[k].rstrip()) > 0 and texts[k].rstrip()[-1] in ":："
+    return out
+
+
 FIRST = 1 << 40  # weight of a set that is taken before any other
 
 
+def list_items(page: Page, k: int) -> list[int]:
+    """The items of the list right behind block k of a page, in the element that k stands in."""
+    out = []
+    for j in range(k + 1, len(page.blocks)):
+        holder = page.parent[page.blocks[j].element]
+        if page.names[page.blocks[j].element] != "li" or holder < 0 or page.parent[holder] != page.blocks[k].container:
+            break
+        out.append(j)
+    return out
+
+
 def story_sets(page: Page, plain: list[bool]) -> dict[int, tuple[int, int]]:
     """{block: (set, weight)} of the runs that may belong to the headline; the set of most weight is the story, the
-    least of equal ones. plain[k]: block k is no boilerplate and ends like a sentence."""
+    least of equal ones. plain[k]: block k is no boilerplate and reads like prose."""
     if page.headline < 0:
         # no headline: the element with most of the page's own sentences
-        return {k: (b.container, len(b.text)) for k, b in enumerate(page.blocks) if plain[k]}
-    head = page.blocks[page.headline]
-    out = {k: (0, FIRST) for k in range(page.headline + 1, len(page.blocks)) if plain[k] and page.blocks[k].container == head.container}
-    behind = [e for e in range(head.element + 1, len(page.parent)) if page.parent[e] == page.parent[head.element]]
-    for k in range(page.headline + 1, len(page.blocks)):
-        if plain[k] and behind and page.blocks[k].container == behind[0]:
-            out.setdefault(k, (1, 1))
+        out = {k: (b.container, len(b.text)) for k, b in enumerate(page.blocks) if plain[k]}
+    else:
+        head = page.blocks[page.headline]
+        out = {k: (0, FIRST) for k in range(page.headline + 1, len(page.blocks)) if plain[k] and page.blocks[k].container == head.container}
+        behind = [e for e in range(head.element + 1, len(page.parent)) if page.parent[e] == page.parent[head.element]]
+        for k in range(page.headline + 1, len(page.blocks)):
+            if plain[k] and behind and page.blocks[k].container == behind[0]:
+                out.setdefault(k, (1, 1))
     return out
 
 
@@ -176,6 +210,14 @@ def _variable(word: str) -> bool:
     return word[0].isdigit() and not _YEAR.match(word)
 
 
+class _Ids(dict):
+    """Numbers of words, from 2; -1 for numbers that say something."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = -1 if _variable(word) else len(self) + 2
+        return n
+
+
 def repeats(tokens: np.ndarray, page: np.ndarray, evidence: np.ndarray, least: int = MIN_PAGES, longest: int = 64) -> np.ndarray:
     """For every place of the stream, the length of the longest run from there that `least` pages have (up to `longest`).
 
@@ -289,33 +331,29 @@ def host_blocks(pdf: pd.DataFrame, sharded: bool = False) -> pd.DataFrame:
         texts = [b.text for b in page.blocks] if page else [t for t in map(squeeze, content.split("\n")) if t]
         parsed.append((key, kind, page, texts, [masked(t, site if isinstance(site, str) else "") for t in texts]))
 
-    ids: dict[str, int] = {"⟦": 0, "⟧": 1}
+    ids = _Ids()
+    number = ids.__getitem__
     stream: list[int] = []
-    owner: list[int] = []
+    pages: list[int] = []  # tokens of each page
     spans: list[list[tuple[int, int]]] = []
     sizes = []
-    loose = 0
-    for k, (_, _, _, _, masks) in enumerate(parsed):
-        own, size = [], []
+    for _, _, _, _, masks in parsed:
+        own, size, start = [], [], len(stream)
         for m in masks:
-            words = _WORD.findall(m)
             begin = len(stream)
             stream.append(0)
-            for w in words:
-                if _variable(w):
-                    loose += 1
-                    stream.append(-len(parsed) - loose)
-                else:
-                    stream.append(ids.setdefault(w, len(ids)))
+            stream.extend(map(number, _WORD.findall(m)))
             stream.append(1)
             own.append((begin, len(stream)))
             wide = 3 if any("\u3040" <= c <= "\u9fff" for c in m[:20]) else 1
             size.append((_hash(m), len(m) * wide if len(m) * wide >= LONG_BLOCK else 0))
-        stream.append(-1 - k)  # no run goes on beyond a page
-        owner += [k] * (len(stream) - len(owner))
+        stream.append(-1)  # no run goes on beyond a page
+        pages.append(len(stream) - start)
         spans.append(own)
         sizes.append(size)
-    tokens, page_of = np.array(stream, np.int64), np.array(owner, np.int64)
+    tokens, page_of = np.array(stream, np.int64), np.repeat(np.arange(len(pages)), pages)
+    single = np.flatnonzero(tokens == -1)
+    tokens[single] = -1 - np.arange(len(single))  # each matches nothing
     evidence = ~np.array(_copies(sizes), bool)[page_of] if len(stream) else np.zeros(0, bool)
     run = repeats(tokens, page_of, evidence) if len(stream) else np.zeros(0, np.int64)
     # places covered by long runs
@@ -330,14 +368,26 @@ def host_blocks(pdf: pd.DataFrame, sharded: bool = False) -> pd.DataFrame:
     for (key, kind, page, texts, _), own, size in zip(parsed, spans, sizes):
         # one run from the opening to the closing mark, or, in blocks longer than any run, long ones without a gap
         dull = [run[a] >= b - a or (run[a] >= LONG_RUN and covered[b] - covered[a] == b - a and run[b - LONG_RUN] >= LONG_RUN) for a, b in own]
-        ends = [bool(_END.search(t)) for t in texts]
-        plain = [e and not d for e, d in zip(ends, dull)]
+        items = {k: list_items(page, k) for k, t in enumerate(texts) if _LEADS.search(t)} if page else {}
+        if page:
+            follows = [k + 1 if k + 1 < len(texts) and page.blocks[k + 1].container == page.blocks[k].container else items[k][0] if items.get(k) else -1 for k in range(len(texts))]
+        else:
+            follows = [*range(1, len(texts)), -1][: len(texts)]
+        prose = reading(texts, follows)
+        plain = [e and not d for e, d in zip(prose, dull)]
         story = story_sets(page, plain) if page else {j: (0, 1) for j, p in enumerate(plain) if p}
+        for k in range(len(texts)):
+            if k in story and _LEADS.search(texts[k]):  # what it leads to belongs to it
+                led = items.get(k, []) if page else [j for j in range(k + 1, len(texts)) if all(_ITEM.match(t) for t in texts[k + 1 : j + 1])]
+                for j in led:
+                    if not dull[j]:
+                        prose[j] = True
+                        story.setdefault(j, story[k])
         for j, t in enumerate(texts):
             mark = next(marks, None)
-            if ends[j]:
+            if prose[j]:
                 behind = size[j + 1][0] if j + 1 < len(size) else 0
-                fixed = not any(_variable(w) for w in _NUMBER.findall(t))
+                fixed = not _DIGIT.search(t) or not any(_variable(w) for w in _NUMBER.findall(t))
                 rows.append((key, kind, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), *story.get(j, (None, None)), size[j][0], fixed, mark, behind))
     out = pd.DataFrame(rows, columns=["id", "field", "md5", "choice", "weight", "hash", "fixed", "marks", "behind"])
     return out.astype({"choice": "Int64", "weight": "Int64"})
@@ -365,7 +415,9 @@ def body_blocks(pages: DataFrame) -> DataFrame:
 
     field `raw_html` is read as markup, any other as lines of text."""
     rows = pages.where("content is not null and content <> ''").select("id", "field", F.coalesce("host", F.lit("")).alias("host"), "site", "content")
-    shards = pages.where("content is not null").select(F.coalesce("host", F.lit("")).alias("host")).groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / SHARD)).alias("shards"))
+    bytes_ = F.sum(F.octet_length("content").cast("long"))
+    shards = cut(pages.where("content is not null").groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.greatest(F.lit(1), F.ceil(bytes_ / SHARD_BYTES)).cast("long").alias("shards")))
+    groups = shards.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
     rows = rows.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
     kind = "id long, field string, md5 string, choice long, weight long, hash long, fixed boolean, marks array<long>, behind long"
 
@@ -373,7 +425,7 @@ def body_blocks(pages: DataFrame) -> DataFrame:
         sharded = bool(pdf["shards"].iloc[0] > 1)
         return host_blocks(pdf, sharded).assign(host=key[0], sharded=sharded)
 
-    blocks = written(rows.select("host", "shard", "shards", "id", "field", "site", "content").groupBy("host", "shard").applyInPandas(run, kind + ", host string, sharded boolean"), "blocks")
+    blocks = written(rows.select("host", "shard", "shards", "id", "field", "site", "content").repartition(max(8, 2 * groups), "host", "shard").groupBy("host", "shard").applyInPandas(run, kind + ", host string, sharded boolean"), "blocks")
     common = blocks.where("fixed").groupBy("hash").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"), F.approx_count_distinct("behind").alias("behinds"))
     common = common.where((F.col("n") >= COMMON_PAGES) & (F.col("hosts") >= COMMON_HOSTS) & (F.col("behinds") * 2 >= F.least("n", F.lit(40))))
     story = blocks.where("choice is not null").join(common.select("hash"), "hash", "left_anti")

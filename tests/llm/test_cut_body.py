@@ -116,7 +116,7 @@ def test_bodies(spark):
 
 def test_notices_of_a_sharded_host(spark, monkeypatch):
     """A notice on a few pages of a large host goes, a story delivered again in other shards stays."""
-    monkeypatch.setattr(bp, "SHARD", 3)
+    monkeypatch.setattr(bp, "SHARD_BYTES", 600)  # some three pages
     notice = "Readers of this host may write to the desk at any hour."
     again = "A long story came again and again " + "with ever the same words of its own and with nothing left out of it, " * 3 + "and so on."
     own = lambda k, n: " ".join("".join(chr(97 + int(c, 16)) for c in hashlib.md5(f"{k} {j}".encode()).hexdigest()[:7]) for j in range(n))
@@ -135,6 +135,47 @@ def test_notices_of_a_sharded_host(spark, monkeypatch):
     assert got[200] == {md5("Short qq tale."), md5("End qq.")} and got[0] == {md5(x) for x in texts[0].split("\n")}
 
 
+def chosen(pages):
+    import pandas as pd
+
+    out = bp.host_blocks(pd.DataFrame(pages, columns=["id", "field", "site", "content"]))
+    return set(out[out["choice"].notna()][["id", "md5"]].itertuples(index=False, name=None))
+
+
+def test_the_suffix_array_decides(monkeypatch):
+    """A notice inside the story's element, and standing lines of texts, go by the array alone: without it they stay."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    notice, line = "Advertisement. The story continues below.", "Readers may write to the desk at any hour."
+    pages = [(k, "raw_html", "Site", page(k)) for k in range(7)]
+    pages += [(100 + k, "clean_text", "Site", f"Story {w} of its own words.\n{line}") for k, w in enumerate(("red", "blue", "green", "white"))]
+    got = chosen(pages)
+    assert not {(k, md5(notice)) for k in range(7)} & got and not {(100 + k, md5(line)) for k in range(4)} & got
+    monkeypatch.setattr(bp, "repeats", lambda tokens, *_: np.zeros(len(tokens), np.int64))
+    blind = chosen(pages)
+    assert got < blind and {(k, md5(notice)) for k in range(7)} <= blind and {(100 + k, md5(line)) for k in range(4)} <= blind
+
+
+def test_prose_without_terminal_marks():
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    thai = ["รัฐบาลประกาศแผนการก่อสร้างโรงเรียนใหม่ในจังหวัดภาคเหนือเมื่อวานนี้ และจะเริ่มงานในปีหน้า", "ชาวบ้านในพื้นที่บอกว่าพวกเขารอคอยโครงการนี้มานานหลายปีแล้ว และหวังว่าจะสำเร็จ"]
+    html = f"<title>ข่าวใหม่</title><nav>หน้าแรก ข่าว กีฬา</nav><article><h1>ข่าวใหม่</h1><p>{thai[0]}</p><p>{thai[1]}</p></article>"
+    lead = "The council will decide three things at its next meeting:"
+    listed = f"<title>Plans</title><article><h1>Plans</h1><p>By A Writer</p><p>It met on Monday.</p><p>{lead}</p><ul><li>the new bridge</li><li>the old school</li></ul><p>It ends there.</p></article><ul><li>Sport</li></ul>"
+    text = f"Plans\n{lead}\n- the new bridge\n- the old school\nShare this"
+    assert chosen([(1, "raw_html", "S", html)]) == {(1, md5(t)) for t in thai}
+    assert chosen([(2, "raw_html", "S", listed)]) == {(2, md5(t)) for t in ("It met on Monday.", lead, "the new bridge", "the old school", "It ends there.")}
+    assert chosen([(3, "clean_text", "S", text)]) == {(3, md5(t)) for t in (lead, "- the new bridge", "- the old school")}
+
+
+def test_a_notice_on_four_of_ten_thousand_pages(spark, monkeypatch):
+    monkeypatch.setattr(bp, "SHARD_BYTES", 60_000)
+    notice = "Correspondents of this paper may be reached through its desk in the harbour."
+    word = lambda k, j: "".join(chr(97 + int(c, 16)) for c in hashlib.md5(f"{k} {j}".encode()).hexdigest()[:6])
+    rows = [(k, "clean_text", "big.example", None, " ".join(word(k, j) for j in range(12)) + "." + (f"\n{notice}" if k % 2500 == 7 else "")) for k in range(10_000)]
+    out = bp.body_blocks(spark.createDataFrame(rows, "id long, field string, host string, site string, content string"))
+    assert out.count() == 10_000 and out.where(F.col("block_md5") == hashlib.md5(notice.encode()).hexdigest()).count() == 0
+
+
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(3)
     pages = [rng.integers(0, 4, 40).tolist() for _ in range(6)]
