@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Query parameters that only track, in lower case.
 TRACKING = (
     "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_name utm_reader utm_brand utm_social "
-    "utm_social-type utm_swu fbclid gclid dclid gbraid wbraid msclkid twclid igshid mc_cid mc_eid yclid ttclid rdt_cid "
+    "utm_social-type utm_swu cmp fbclid gclid dclid gbraid wbraid msclkid twclid igshid mc_cid mc_eid yclid ttclid rdt_cid "
     "ref referrer source src cmpid ito at_medium at_campaign ncid smid partner sh __twitter_impression guccounter spm share_type"
 ).split()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,13 +15,13 @@ SOURCE_WEIGHT, SECTION_WEIGHT = 0.65, 0.70
 COUNTRY_LEAST, MARGIN_LEAST, CONTENDER_LEAST, CONTENDERS_INTERNATIONAL, SOURCE_ONLY_CAP = 0.60, 0.25, 0.50, 3, 0.35
 # Thresholds of the category decision.
 CATEGORY_LEAST, SECOND_RATIO, CATEGORY_REVIEW = 1.0, 0.6, 0.4
+MOST_TERMS = 200_000  # of a gazetteer or rule set
 # URL segments that name a country.
 SECTION_COUNTRIES = {
     "india": "IN", "united-states": "US", "usa": "US", "us": "US", "uk": "GB", "britain": "GB", "united-kingdom": "GB",
     "australia": "AU", "canada": "CA", "germany": "DE", "france": "FR", "japan": "JP", "brazil": "BR",
     "south-africa": "ZA", "singapore": "SG", "uae": "AE", "emirates": "AE",
 }
-PATTERN_TERMS = 4000
 
 
 def surfaces(aliases: DataFrame) -> DataFrame:
@@ -29,17 +30,33 @@ def surfaces(aliases: DataFrame) -> DataFrame:
     return out.where("surface <> ''")
 
 
-def alternation(terms: list[str]) -> list[str]:
-    """Patterns that match any of the terms as whole words, longest first, each of at most PATTERN_TERMS terms."""
-    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    quoted = [re.escape(t).replace("\\'", "'") for t in ordered]
-    return [r"\b(?:" + "|".join(quoted[k : k + PATTERN_TERMS]) + r")\b" for k in range(0, len(quoted), PATTERN_TERMS)]
+def alternation(terms: list[str]) -> str:
+    """One pattern that matches any of the terms as whole words, the longest first: a tree of their common beginnings,
+    so a place of the text is tried along one branch, not term by term."""
+    ordered = sorted(set(terms))
+
+    def branch(low: int, high: int, depth: int) -> str:
+        """Pattern of what the terms from `low` to before `high`, equal up to `depth`, have behind it."""
+        ends = len(ordered[low]) == depth  # the shortest comes first
+        low += ends
+        parts = []
+        while low < high:
+            stop = low
+            while stop < high and ordered[stop][depth] == ordered[low][depth]:
+                stop += 1
+            common = len(os.path.commonprefix([ordered[low], ordered[stop - 1]]))
+            parts.append(re.escape(ordered[low][depth:common]).replace("\\'", "'") + branch(low, stop, common))
+            low = stop
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)})" + ("?" if ends else "")
+
+    return rf"\b{branch(0, len(ordered), 0)}\b"
 
 
 def found_terms(text: Column, terms: list[str]) -> Column:
     """Distinct terms found in normalised text: leftmost, longest first, without overlap."""
-    parts = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in alternation(terms)]
-    return F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<string>")
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(alternation(terms)), F.lit(0))) if terms else F.array().cast("array<string>")
 
 
 def has_word(text: Column, word: Column) -> Column:
@@ -52,26 +69,52 @@ def has_word(text: Column, word: Column) -> Column:
 def alias_matches(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, alias_id, country_id, alias, weight, gated_out, context_hit) for each alias found in `texts` (id, text).
 
-    The surfaces are few (the gazetteer is a dimension) and become one pattern; every match then meets all aliases of
-    its surface by an equi-join. An ambiguous alias counts only where one of its context words occurs.
+    The gazetteer is a dimension: its surfaces become one pattern on the driver, at most MOST_TERMS of them (more are
+    refused); every match then meets all aliases of its surface by an equi-join, which Spark broadcasts if the aliases'
+    size allows. An ambiguous alias counts only where one of its context words occurs.
     """
     known = surfaces(aliases).select(F.col("id").alias("alias_id"), "country_id", "alias", "surface", "weight", "is_ambiguous", "context")
-    terms = [r["surface"] for r in known.select("surface").distinct().collect()]  # a dimension table
+    terms = _terms(known.select("surface"))
     norm = texts.select("id", normalized(F.col("text")).alias("norm")).where("norm <> ''")
     hits = norm.select("id", "norm", F.explode(found_terms(F.col("norm"), terms)).alias("surface"))
-    joined = hits.join(F.broadcast(known), "surface")
+    joined = hits.join(known, "surface")
     context = F.filter(F.col("context"), lambda c: has_word(F.col("norm"), F.lower(c)))
     first = F.get(context, F.lit(0))
     return joined.select("id", "alias_id", "country_id", "alias", F.col("weight").alias("weight"), (F.col("is_ambiguous") & first.isNull()).alias("gated_out"), F.when(F.col("is_ambiguous"), first).alias("context_hit"))
 
 
-def section_country(feed_url: Column) -> Column:
-    """The country that a segment of a feed's URL names (host labels count), the first one that does."""
-    names = F.create_map(*[F.lit(x) for p in SECTION_COUNTRIES.items() for x in p])
+def section_country(feed_url: Column, codes: list[str] | None = None) -> Column:
+    """The country that a segment of a feed's URL names (host labels count), the first one that does.
+
+    Names count only, unless `codes` are given: then a segment that is one of these two-letter codes names its country too."""
+    known = {**{c.lower(): c.upper() for c in codes or []}, **SECTION_COUNTRIES}
+    names = F.create_map(*[F.lit(x) for p in known.items() for x in p])
     segments = F.filter(F.split(F.lower(feed_url), r"[/.?=&]+"), lambda s: s != "")
     return F.get(F.filter(F.transform(segments, lambda s: F.try_element_at(names, s)), lambda c: c.isNotNull()), F.lit(0))
 
 
+def evidence(matches: DataFrame, places: DataFrame, countries: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(id, iso2, kind, weight): all that speaks for a country.
+
+    matches: ungated alias matches (id, country_id, weight); places: (id, source_country, feed_url) of every text;
+    countries: (country_id, iso2); gazetteer: (country_id) of all aliases, as a prior counts only for countries that have some."""
+    iso = countries.select("country_id", "iso2")
+    known = iso.join(gazetteer.select("country_id").distinct(), "country_id", "left_semi").select(F.upper("iso2").alias("iso2")).distinct()
+    found = matches.join(iso, "country_id").select("id", "iso2", F.lit("alias").alias("kind"), "weight")
+    source = places.select("id", F.upper(F.trim("source_country")).alias("iso2")).join(known, "iso2").select("id", "iso2", F.lit("source").alias("kind"), F.lit(SOURCE_WEIGHT).alias("weight"))
+    section = places.select("id", section_country(F.col("feed_url")).alias("iso2")).where("iso2 is not null").select("id", "iso2", F.lit("section").alias("kind"), F.lit(SECTION_WEIGHT).alias("weight"))
+    return found.unionByName(source).unionByName(section)
+
+
+def category_rules(categories: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(slug, parent, sort_order, keywords) from stored rows: enabled categories only, the parent by its slug.
+
+    categories: (category_id, parent_id, slug, is_enabled, sort_order); keywords: (category_id, keyword)."""
+    words = keywords.where("trim(keyword) <> ''").groupBy("category_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    parents = categories.select(F.col("category_id").alias("parent_id"), F.col("slug").alias("parent"))
+    return categories.where("is_enabled").join(words, "category_id").join(parents, "parent_id", "left").select("slug", "parent", "sort_order", "keywords")
+
+
 def country_scores(evidence: DataFrame) -> DataFrame:
     """(id, iso2, score, matched, from_source, from_section) from evidence rows (id, iso2, kind, weight)."""
     return evidence.groupBy("id", "iso2").agg(
@@ -105,15 +148,31 @@ def country_decisions(ids: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+def _terms(rows: DataFrame) -> list[str]:
+    """The distinct values of a one-column dimension, at most MOST_TERMS."""
+    got = [r[0] for r in rows.distinct().limit(MOST_TERMS + 1).collect()]
+    if len(got) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return sorted(got)
+
+
+def _word_runs(text: Column, longest: int) -> Column:
+    """All runs of one to `longest` words of a text in word form, in the same form."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(words, i, F.lit(n)), " "), F.lit(" ")))
+    return F.when(F.size(words) > 0, F.flatten(F.array(*[run(n) for n in range(1, longest + 1)]))).otherwise(F.array().cast("array<string>"))
+
+
 def keyword_scores(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, slug, parent, score) for `texts` (id, title, description): 1 for a keyword in the title, else 0.5 in the description."""
     words = rules.select("slug", "parent", "sort_order", F.explode("keywords").alias("k")).select("slug", "parent", "sort_order", worded(F.col("k")).alias("keyword")).where("trim(keyword) <> ''")
-    terms = [r["keyword"] for r in words.select("keyword").distinct().collect()]  # a dimension table
+    terms = _terms(words.select("keyword"))
+    longest = max((len(t.split()) for t in terms), default=0)
     norm = texts.select("id", worded(F.coalesce("title", F.lit(""))).alias("t"), worded(F.coalesce("description", F.lit(""))).alias("d"))
-    each = lambda c: F.filter(F.array(*[F.lit(k) for k in terms]), lambda k: F.contains(c, k)) if terms else F.array().cast("array<string>")
+    each = lambda c: F.array_intersect(_word_runs(c, longest), F.array(*[F.lit(k) for k in terms])) if terms else F.array().cast("array<string>")
     hits = norm.select("id", each(F.col("t")).alias("in_t"), each(F.col("d")).alias("in_d"))
     hits = hits.select("id", F.explode(F.concat(F.transform("in_t", lambda k: F.struct(k.alias("keyword"), F.lit(1.0).alias("w"))), F.transform(F.array_except("in_d", "in_t"), lambda k: F.struct(k.alias("keyword"), F.lit(0.5).alias("w"))))).alias("h"))
-    return hits.select("id", F.col("h.keyword").alias("keyword"), F.col("h.w").alias("w")).join(F.broadcast(words), "keyword").groupBy("id", "slug", "parent", "sort_order").agg(F.sum("w").alias("score"))
+    return hits.select("id", F.col("h.keyword").alias("keyword"), F.col("h.w").alias("w")).join(words, "keyword").groupBy("id", "slug", "parent", "sort_order").agg(F.sum("w").alias("score"))
 
 
 def category_decisions(ids: DataFrame, scores: DataFrame) -> DataFrame:
@@ -145,8 +204,13 @@ def fan_out(decisions: DataFrame) -> DataFrame:
 
 
 def evaluated(cases: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(tag, cases, passed) of labelled cases (id, expect, allow, must_not, tags) against predictions (id, primary)."""
+    """(tag, cases, passed, false_positives, misses) of labelled cases (id, expect, allow, must_not, tags) against
+    predictions (id, primary). A false positive is a label where none was expected or one that must not be; a miss is
+    none where one was."""
     j = cases.join(predictions.select("id", "primary"), "id", "left")
     ok = F.when(F.size("allow") > 0, F.coalesce(F.array_contains("allow", F.col("primary")), F.lit(False))).otherwise(F.col("expect").eqNullSafe(F.col("primary")))
     vetoed = F.coalesce(F.array_contains("must_not", F.col("primary")), F.lit(False))
-    return j.select(F.explode("tags").alias("tag"), (ok & ~vetoed).alias("ok")).groupBy("tag").agg(F.count("*").alias("cases"), F.count_if("ok").alias("passed"))
+    wrong = F.col("primary").isNotNull() & (vetoed | (F.col("expect").isNull() & (F.size("allow") == 0)))
+    missed = F.col("primary").isNull() & F.col("expect").isNotNull() & (F.size("allow") == 0)
+    each = j.select(F.explode("tags").alias("tag"), (ok & ~vetoed).alias("ok"), wrong.alias("wrong"), missed.alias("missed"))
+    return each.groupBy("tag").agg(F.count("*").alias("cases"), F.count_if("ok").alias("passed"), F.count_if("wrong").alias("false_positives"), F.count_if("missed").alias("misses"))

@@ -12,6 +12,9 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import cursor
+from newsloom.session import cut
+
 MAX_VALUES, MAX_LIMIT = 50, 50
 
 
@@ -47,32 +50,53 @@ class FeedRequest:
             raise ValueError("days need the time they count from")
 
 
-def served(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """Articles whose source wants no takedown; adds the source's name and language."""
+def served(articles: DataFrame, sources: DataFrame, state: tuple[str, str] | None = None) -> DataFrame:
+    """Articles whose source wants no takedown, and, given `state` (column, value), only those in that state; adds the
+    source's name and language."""
+    if state:
+        articles = articles.where(F.col(state[0]) == state[1])
     shown = sources.where("takedown_requested_at is null").select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("language").alias("source_language"))
     return articles.join(shown, "source_id")
 
 
-def descendants(categories: DataFrame, slugs: list[str] | None = None, depth: int = 16) -> DataFrame:
-    """(category_id, root_id) for every category and each of its ancestors, itself included.
+def descendants(categories: DataFrame, slugs: list[str] | None = None) -> DataFrame:
+    """(category_id, root_id) for every category and each of its ancestors, itself included, however deep the tree.
 
-    Level by level from the leaves up; stops when a level has no parents, and a cycle can't go on beyond `depth`.
+    Steps double: after k rounds all ancestors up to 2^k levels away are known. It ends when a round adds nothing, so a
+    cycle ends as well.
     """
-    nodes = categories.select("category_id", "parent_id")
-    closure = nodes.select("category_id", F.col("category_id").alias("root_id"))
-    level = closure
-    for _ in range(depth):
-        level = level.join(nodes.select(F.col("category_id").alias("root_id"), F.col("parent_id").alias("up")), "root_id").where("up is not null").select("category_id", F.col("up").alias("root_id"))
-        if level.isEmpty():
+    nodes = categories.select("category_id", "parent_id").where("category_id is not null").distinct()
+    own = nodes.select("category_id", F.col("category_id").alias("root_id"))
+    closure = cut(own.unionByName(nodes.where("parent_id is not null").select("category_id", F.col("parent_id").alias("root_id"))).distinct())
+    known = closure.count()
+    while True:
+        further = closure.join(closure.select(F.col("category_id").alias("root_id"), F.col("root_id").alias("up")), "root_id").select("category_id", F.col("up").alias("root_id"))
+        closure = cut(closure.unionByName(further).distinct())
+        n = closure.count()
+        if n == known:
             break
-        closure = closure.unionByName(level)
-    closure = closure.distinct()
+        known = n
     if slugs is None:
         return closure
     wanted = categories.where(F.lower("slug").isin(slugs)).select(F.col("category_id").alias("root_id"))
     return closure.join(wanted, "root_id", "left_semi")
 
 
+def sort_key(published: Column, created: Column) -> Column:
+    """When an article counts as published: the stated moment, else when it was stored."""
+    return F.coalesce(published, created)
+
+
+def attributed(articles: DataFrame) -> DataFrame:
+    """Articles with a url, a source name and a title that aren't blank."""
+    return articles.where(" and ".join(f"trim({c}) <> ''" for c in ("url", "source_name", "title")))
+
+
+def lookup(articles: DataFrame, ident: int) -> DataFrame:
+    """The served article `ident`; no row where it isn't served or isn't there."""
+    return articles.where(F.col("id") == ident)
+
+
 def before(sort: Column, ident: Column, place: tuple[datetime, int]) -> Column:
     """Rows behind `place` in descending (sort, id) order."""
     stamp = F.lit(place[0]).cast("timestamp_ntz")
@@ -112,6 +136,12 @@ def page(articles: DataFrame, limit: int) -> DataFrame:
     return ranked.where(F.col("rank") <= limit)
 
 
+def next_place(ranked: DataFrame) -> DataFrame:
+    """(has_more, next_cursor) of a page as it was ranked, before any interleaving: the cursor of its last row, null on the last page."""
+    end = ranked.agg(F.coalesce(F.max("has_more"), F.lit(False)).alias("has_more"), F.max_by(F.struct("sort_ts", "id"), "rank").alias("last"))
+    return end.select("has_more", F.when(F.col("has_more"), cursor(F.col("last.sort_ts"), F.col("last.id"))).alias("next_cursor"))
+
+
 def interleaved(ranked: DataFrame) -> DataFrame:
     """A page in rounds: the newest article of each source, then the next of each; sources in order of appearance."""
     by = Window.partitionBy("source_id")

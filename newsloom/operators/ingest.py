@@ -17,15 +17,16 @@ def keyed(articles: DataFrame, url: str = "url") -> DataFrame:
     return articles.where(F.trim(url) != "").withColumns({"canonical_url": canonical_url(F.col(url)), "url_key": url_key(F.col(url))})
 
 
-def first_of_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order.
+def first_of_each(rows: DataFrame, key: str, order: list[str], copies: str | None = None) -> DataFrame:
+    """The first row of each key in the given order; `copies` names a column that counts the key's rows.
 
     A partial minimum on each side of the shuffle, so a hot key never gathers its rows in one task.
     """
     place = F.struct(*[F.col(c) for c in order])
     names = [c for c in rows.columns if c != key]
-    firsts = rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in names]), place).alias("__row"))
-    return firsts.select(key, *[F.col(f"__row.`{c}`").alias(c) for c in names])
+    count = [F.count("*").alias(copies)] if copies else []
+    firsts = rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in names]), place).alias("__row"), *count)
+    return firsts.select(key, *[F.col(f"__row.`{c}`").alias(c) for c in names], *([copies] if copies else []))
 
 
 def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -69,11 +70,20 @@ def replaced(bridge: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return bridge.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
 
 
+def is_expired(stamp: str, now: str, interval: str) -> Column:
+    return F.coalesce(F.col(stamp) < F.expr(f"timestamp_ntz'{now}' - INTERVAL {interval}"), F.lit(False))
+
+
 def expired(rows: DataFrame, stamp: str, now: str, interval: str) -> DataFrame:
     """Rows older than `interval` before `now`, strictly."""
     return rows.where(F.col(stamp) < F.expr(f"timestamp_ntz'{now}' - INTERVAL {interval}"))
 
 
+def kept(rows: DataFrame, stamp: str, now: str, interval: str) -> DataFrame:
+    """The rows that `expired` doesn't return; rows without a stamp stay."""
+    return rows.where(~is_expired(stamp, now, interval))
+
+
 def runs(rows: DataFrame, key: str, order: list[str], failed: str, bucket: Column) -> DataFrame:
     """Adds consecutive_failures: the length of the run of failures up to each row of its key; a success starts anew.
 

@@ -29,19 +29,27 @@ def build_session(app: str = "newsloom", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    defaults["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> bool:
+    """Whether a frame has at most `most_rows` rows; counts no further."""
+    return df.limit(most_rows + 1).count() <= most_rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset in local mode, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "newsloom-checkpoints")
         os.makedirs(root, exist_ok=True)
         root = f"file://{root}"
@@ -49,10 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
+    """Cut lineage with a reliable checkpoint in the shared folder; a folder made for it here goes when the program ends."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        atexit.register(_remove, spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return df.checkpoint(eager=True)
 
 
