@@ -18,11 +18,22 @@ BLOCKS = frozenset("p div br li ul ol tr td th table h1 h2 h3 h4 h5 h6 blockquot
 SENTENCE_ENDS = ".!?:;…”\"')]"
 
 
+class _Unaccented(dict):
+    """For str.translate: combining characters go, all others stay."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.combining(chr(code)) else code
+        return self[code]
+
+
+_UNACCENTED = _Unaccented()
+
+
 def search_form(text: str | None) -> str | None:
     """Accents folded, lower case, everything but a-z, 0-9 and ' . - as single spaces."""
     if text is None:
         return None
-    folded = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    folded = text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).translate(_UNACCENTED).lower()
     return " ".join(re.sub(r"[^a-z0-9'.\- ]+", " ", folded).split())
 
 

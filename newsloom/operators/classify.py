@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.functions.text import json_list, normalized, worded
+from newsloom.functions.text import json_list, normalized, word_form, worded
 
 # Weights and thresholds of the country decision.
 SOURCE_WEIGHT, SECTION_WEIGHT = 0.65, 0.70
@@ -156,21 +158,30 @@ def _terms(rows: DataFrame) -> list[str]:
     return sorted(got)
 
 
-def _word_runs(text: Column, longest: int) -> Column:
-    """All runs of one to `longest` words of a text in word form, in the same form."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(words, i, F.lit(n)), " "), F.lit(" ")))
-    return F.when(F.size(words) > 0, F.flatten(F.array(*[run(n) for n in range(1, longest + 1)]))).otherwise(F.array().cast("array<string>"))
+def _found_words(terms: list[str]):
+    """A function from texts to those of `terms`, in word form, that they contain: every word is looked up among
+    the terms' first words, so the work follows the text, not the number of terms."""
+    begins: dict[str, list[list[str]]] = {}  # terms by their first word
+    for t in terms:
+        begins.setdefault(t.split()[0], []).append(t.split())
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def find(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str]:
+            words = (word_form(text) or "").split() if isinstance(text, str) else []
+            found = {" ".join(t) for k, w in enumerate(words) if w in begins for t in begins[w] if words[k : k + len(t)] == t}
+            return sorted(f" {t} " for t in found)
+
+        return texts.map(one)
+
+    return find
 
 
 def keyword_scores(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, slug, parent, score) for `texts` (id, title, description): 1 for a keyword in the title, else 0.5 in the description."""
     words = rules.select("slug", "parent", "sort_order", F.explode("keywords").alias("k")).select("slug", "parent", "sort_order", worded(F.col("k")).alias("keyword")).where("trim(keyword) <> ''")
-    terms = _terms(words.select("keyword"))
-    longest = max((len(t.split()) for t in terms), default=0)
-    norm = texts.select("id", worded(F.coalesce("title", F.lit(""))).alias("t"), worded(F.coalesce("description", F.lit(""))).alias("d"))
-    each = lambda c: F.array_intersect(_word_runs(c, longest), F.array(*[F.lit(k) for k in terms])) if terms else F.array().cast("array<string>")
-    hits = norm.select("id", each(F.col("t")).alias("in_t"), each(F.col("d")).alias("in_d"))
+    find = _found_words(_terms(words.select("keyword")))
+    hits = texts.select("id", find(F.col("title")).alias("in_t"), find(F.col("description")).alias("in_d"))
     hits = hits.select("id", F.explode(F.concat(F.transform("in_t", lambda k: F.struct(k.alias("keyword"), F.lit(1.0).alias("w"))), F.transform(F.array_except("in_d", "in_t"), lambda k: F.struct(k.alias("keyword"), F.lit(0.5).alias("w"))))).alias("h"))
     return hits.select("id", F.col("h.keyword").alias("keyword"), F.col("h.w").alias("w")).join(words, "keyword").groupBy("id", "slug", "parent", "sort_order").agg(F.sum("w").alias("score"))
 
