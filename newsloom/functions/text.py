@@ -205,3 +205,23 @@ def decoded_cursor(key: Column) -> Column:
     text = F.decode(F.unbase64(F.translate(key, "-_", "+/")), "UTF-8")
     stamp = F.regexp_extract(text, r"^(.*)\|", 1)
     return F.struct(stamp.try_cast("timestamp_ntz").alias("stamp"), F.regexp_extract(text, r"\|([^|]*)$", 1).try_cast("long").alias("id"))
+
+
+# Characters of a title that are stored, characters of a text that stand for a token.
+TITLE_CHARS, TOKEN_CHARS = 1024, 4
+
+
+def stored_title(title: Column) -> Column:
+    """A title as it is stored: trimmed, at most TITLE_CHARS characters."""
+    return F.left(F.trim(title), F.lit(TITLE_CHARS))
+
+
+def token_slice(text: Column, tokens: int) -> Column:
+    """The beginning of a text that `tokens` tokens stand for, by characters; empty for null."""
+    return F.left(F.coalesce(text, F.lit("")), F.lit(tokens * TOKEN_CHARS))
+
+
+def client_key(forwarded: Column, peer: Column) -> Column:
+    """Whom a request is from: the first address of the forwarded header, else the peer, else `unknown`."""
+    first = F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))
+    return F.coalesce(F.nullif(first, F.lit("")), peer, F.lit("unknown"))

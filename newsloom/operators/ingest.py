@@ -5,10 +5,11 @@ from __future__ import annotations
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.functions.text import publisher_identity, publisher_slug
 from newsloom.functions.urls import canonical_url, url_key
 
 
@@ -84,6 +85,61 @@ def kept(rows: DataFrame, stamp: str, now: str, interval: str) -> DataFrame:
     return rows.where(~is_expired(stamp, now, interval))
 
 
+def resolved_publishers(names: DataFrame, sources: DataFrame) -> DataFrame:
+    """(name, source_id) of every distinct publisher name: the source whose feed_url is made of the name, else the first
+    one (by id) of the same identity; a discovered source counts only under its exact name. Null where there is none or
+    the name is blank.
+
+    names: (name); sources: (id, name, feed_url, kind). Two equi-joins, each reduced by a partial minimum."""
+    wanted = names.select(F.trim("name").alias("name")).where("name <> ''").distinct()
+    wanted = wanted.withColumns({"__feed": F.concat(F.lit("gnews://"), publisher_slug(F.col("name"))), "__who": publisher_identity(F.col("name"))})
+    exact = sources.groupBy(F.col("feed_url").alias("__feed")).agg(F.min("id").alias("exact"))
+    alike = sources.select(F.col("id").alias("__id"), F.col("name").alias("__name"), F.coalesce("kind", F.lit("rss")).alias("__kind"), publisher_identity(F.col("name")).alias("__who"))
+    same = wanted.select("name", "__who").join(alike, "__who").where("__kind <> 'discovered' or __name = name").groupBy("name").agg(F.min("__id").alias("alike"))
+    found = wanted.join(exact, "__feed", "left").join(same, "name", "left")
+    return found.select("name", F.coalesce("exact", "alike").alias("source_id"))
+
+
+def owned(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """Entries (source_id, publisher, url, ...) filed under the publisher that wrote them.
+
+    Rows with a blank url are dropped, and so are those that name a publisher no source is found for."""
+    who = resolved_publishers(entries.select(F.col("publisher").alias("name")), sources).select(F.col("name").alias("__name"), F.col("source_id").alias("__owner"))
+    joined = entries.where("trim(url) <> ''").join(who, F.trim("publisher") == F.col("__name"), "left")
+    kept = joined.where("coalesce(trim(publisher), '') = '' or __owner is not null")
+    return kept.withColumn("source_id", F.coalesce("__owner", "source_id")).drop("__name", "__owner")
+
+
+def fresh(rows: DataFrame, known: DataFrame, key: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """The first row of each unseen key, in `order`, at most `limit` of them."""
+    out = unseen(first_of_each(rows, key, order), known, key)
+    return out if limit is None else out.orderBy(*order).limit(limit)
+
+
+def backfilled_keys(rows: DataFrame, ident: str, key: str) -> DataFrame:
+    """(ident, key): the key stays with the lowest ident and becomes null on its copies."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(ident).alias("__first"))
+    return rows.select(ident, key).join(first, key, "left").select(ident, F.when(F.col(ident) == F.col("__first"), F.col(key)).alias(key))
+
+
+def with_parent_ids(rows: DataFrame, ident: str, name: str, parent: str) -> DataFrame:
+    """`rows` with parent_id: the id of the row that `parent` names; null where it names none."""
+    ids = rows.groupBy(F.col(name).alias("__name")).agg(F.min(ident).alias("parent_id"))
+    return rows.join(ids, F.col(parent) == F.col("__name"), "left").drop("__name")
+
+
+def seeded_if_empty(stored: DataFrame, defaults: DataFrame) -> DataFrame:
+    """The rows to insert: the defaults where nothing is stored yet, none otherwise."""
+    return defaults if stored.isEmpty() else defaults.limit(0)
+
+
+def synthetic_backlog(spark: SparkSession, count: int, now: str, offset: int = 0, prefix: str = "https://demo.invalid/") -> DataFrame:
+    """(url, url_key, title, published_at) of `count` made-up articles, a minute apart, the newest first."""
+    name = F.concat(F.lit(f"{offset}-"), F.col("id").cast("string"))
+    rows = spark.range(count).select(F.concat(F.lit(prefix), name).alias("url"), F.concat(F.lit("Synthetic fixture article "), name).alias("title"), (F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("published_at"))
+    return rows.select("url", url_key(F.col("url")).alias("url_key"), "title", "published_at")
+
+
 def runs(rows: DataFrame, key: str, order: list[str], failed: str, bucket: Column) -> DataFrame:
     """Adds consecutive_failures: the length of the run of failures up to each row of its key; a success starts anew.
 

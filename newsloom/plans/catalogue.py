@@ -11,24 +11,13 @@ from newsloom.functions import text as tx
 from newsloom.functions.urls import base_url, canonical_url, url_key
 from newsloom.functions.vectors import vector_literal
 from newsloom.operators import classify, feed, ingest, limits, similarity
-from newsloom.plans.views import inline, view
+from newsloom.plans.views import registry, view
 from newsloom.session import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = registry()
 NOW = datetime(2026, 3, 1, 12)
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = inline(sql)
-        return f
-
-    return register
-
-
 def _served(spark: SparkSession, d: str) -> DataFrame:
     return feed.served(view(spark, d, "v_articles"), table(spark, d, "sources"), ("ingest_status", "PUBLISHED"))
 
@@ -528,10 +517,11 @@ def storage_used(spark, d):
     return used.select("used", F.format_string("%.0f MB / %.0f MB (%.1f%%)", F.col("used") / 1048576.0, F.lit(500.0), F.col("used") * 100.0 / 524288000.0).alias("shown"))
 
 
-@query("SELECT event_id, trim(split_part(h, ',', 1)) AS client FROM (SELECT event_id, ' 10.0.' || CAST(user_id % 256 AS VARCHAR) || '.1 , 10.1.1.1' AS h FROM events)")
+@query("SELECT event_id, coalesce(nullif(trim(split_part(h, ',', 1)), ''), peer, 'unknown') AS client FROM (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE ' 10.0.' || CAST(user_id % 256 AS VARCHAR) || '.1 , 10.1.1.1' END AS h, CASE WHEN user_id % 2 = 0 THEN 'peer' || CAST(user_id AS VARCHAR) END AS peer FROM events)")
 def client_key(spark, d):
-    header = F.concat(F.lit(" 10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1 , 10.1.1.1"))
-    return table(spark, d, "events").select("event_id", F.trim(F.split_part(header, F.lit(","), F.lit(1))).alias("client"))
+    header = F.when(F.col("user_id") % 3 != 0, F.concat(F.lit(" 10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1 , 10.1.1.1")))
+    peer = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("peer"), F.col("user_id").cast("string")))
+    return table(spark, d, "events").select("event_id", tx.client_key(header, peer).alias("client"))
 
 
 _LABELS = "CASE WHEN event_id % 7 = 0 THEN 'not json' WHEN event_id % 5 = 0 THEN '{\"category\": \"Gossip\", \"confidence\": 0.9}' ELSE '{\"category\": \" ' || CASE WHEN event_id % 2 = 0 THEN 'Health' ELSE 'Sports' END || ' \", \"confidence\": 0.' || CAST(event_id % 10 AS {s}) || '}' END"

@@ -48,3 +48,20 @@ def inline(sql: str) -> str:
     if body.upper().startswith("WITH"):
         return f"WITH {heads}, {body[len('WITH'):]}"
     return f"WITH {heads} {body}"
+
+
+def registry() -> tuple[dict, dict[str, str], object]:
+    """(queries, twins, decorator): the decorator takes the SQL of a query's twin, or nothing, and enters both by the function's name."""
+    queries: dict = {}
+    twins: dict[str, str] = {}
+
+    def query(sql: str | None = None):
+        def register(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                twins[f.__name__] = inline(sql)
+            return f
+
+        return register
+
+    return queries, twins, query

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +65,7 @@ def parse_feeds(documents: DataFrame, name: str, text: str) -> DataFrame:
             rows = [(n, k, *e) for n, t in zip(batch["n"], batch["t"]) for k, e in enumerate(entries(t))]
             yield pd.DataFrame(rows, columns=["feed", "entry_no", "title", "url", "summary", "published"]).astype({"entry_no": "int32"})
 
-    return documents.select(F.col(f"`{name}`").alias("n"), F.col(f"`{text}`").alias("t")).mapInPandas(run, ENTRY)
+    return documents.select(F.col(f"`{name}`").cast("string").alias("n"), F.col(f"`{text}`").alias("t")).mapInPandas(run, ENTRY)
 
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -80,6 +80,28 @@ def flatten_aggregator(documents: DataFrame, text: str) -> DataFrame:
     return flat.where("title <> '' AND url <> '' AND publisher <> ''")
 
 
+_STAMP = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def published_utc(stamp: Column) -> Column:
+    """An RFC 3339 stamp as a timestamp without zone, in UTC; one without an offset is taken as it stands, a bad one is null."""
+    text = F.when(stamp.rlike(_STAMP), stamp)
+    micros = F.unix_micros(text.try_cast("timestamp")).cast("decimal(20,0)") / 1000000
+    moved = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros.cast("decimal(18,6)"))
+    return F.when(text.rlike("(?:Z|\\d[+-]\\d{2}:\\d{2})$"), moved).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def read_by_kind(documents: DataFrame, readers: dict[str, Callable[[DataFrame], DataFrame]], default: str = "rss") -> DataFrame:
+    """Entries of documents (kind, ...) of several kinds: each kind goes through its own reader, documents of null or
+    unknown kind through that of `default`. All readers give the same columns."""
+    kind = F.when(F.col("kind").isin(list(readers)), F.col("kind")).otherwise(default)
+    parts = [reader(documents.where(kind == name)) for name, reader in readers.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 class _Paragraphs(HTMLParser):
     """Text of <p> elements outside scripts, styles and page furniture."""
 
@@ -107,23 +129,55 @@ class _Paragraphs(HTMLParser):
             self.found[-1] += data
 
 
-def body_text(page: str | None, least_words: int = 50) -> str | None:
-    """A page's paragraphs, joined; null below `least_words` words."""
-    if not page:
-        return None
-    parser = _Paragraphs()
-    parser.feed(page)
-    parser.close()
-    text = "\n".join(t for t in (" ".join(p.split()) for p in parser.found) if t)
-    return text if len(text.split()) >= least_words else None
+class _Article(_Paragraphs):
+    """Text of <p> elements inside <article> or <main>."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.depth = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in ("article", "main")
+        if self.depth:
+            super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        if tag in ("article", "main"):
+            self.depth, self.inside = max(0, self.depth - 1), False
+
+
+def paragraphs(page: str, parser: type[_Paragraphs] = _Paragraphs) -> str:
+    p = parser()
+    p.feed(page)
+    p.close()
+    return "\n".join(t for t in (" ".join(x.split()) for x in p.found) if t)
+
+
+def article_paragraphs(page: str) -> str:
+    return paragraphs(page, _Article)
+
+
+# Words that a layer must give, characters of a body that are kept.
+LEAST_WORDS, MOST_CHARS = 50, 50_000
+LAYERS: tuple[Callable[[str], str], ...] = (article_paragraphs, paragraphs)
+
+
+def body_text(page: str | None, least_words: int = LEAST_WORDS, layers: tuple[Callable[[str], str], ...] = LAYERS, most_chars: int | None = None) -> str | None:
+    """What the first layer that finds at least `least_words` words finds, up to `most_chars`; null where none does."""
+    for layer in layers if page else ():
+        text = layer(page)
+        if text and len(text.split()) >= least_words:
+            return text if most_chars is None else text[:most_chars]
+    return None
 
 
-def page_bodies(pages: DataFrame, key: str, markup: str) -> DataFrame:
-    """(key, body) of every page; body is null where too little text is found."""
+def page_bodies(pages: DataFrame, key: str, markup: str, least_words: int = LEAST_WORDS, layers: tuple[Callable[[str], str], ...] = LAYERS, most_chars: int | None = None) -> DataFrame:
+    """(key, body) of every page; body is null where no layer finds enough text. most_chars: MOST_CHARS is the usual bound."""
 
     @F.pandas_udf(T.StringType())
     def body(markups: pd.Series) -> pd.Series:
-        return markups.map(body_text, na_action="ignore")
+        return markups.map(lambda m: body_text(m, least_words, layers, most_chars), na_action="ignore")
 
     return pages.select(F.col(f"`{key}`").alias(key), body(F.col(f"`{markup}`")).alias("body"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +17,50 @@ from newsloom.sources.feeds import parse_feeds
 STORED = "url_key string, canonical_url string, title string, summary string, published string, feed string"
 
 
-def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Feed files that land in a folder become new articles, each key once.
+def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, whole: bool = True) -> StreamingQuery:
+    """Feed files that land in a folder become new articles, each key once. A file is a document, or each of its lines
+    is (whole=False).
 
-    A micro-batch is parsed, reduced to the first entry of each key and appended without the keys already stored. A
-    batch that is run again after a failure finds its own keys stored and adds nothing.
+    A micro-batch is parsed, reduced to the first entry of each key and appended without the keys already stored. The
+    store is partitioned by the beginning of the key, and only partitions that the batch has keys of are read, their
+    key column alone. A batch that is run again after a failure finds its own keys stored and adds nothing.
     """
-    documents = spark.readStream.format("text").option("wholetext", "true").load(landing).select(F.col("_metadata.file_path").alias("name"), "value")
+    documents = spark.readStream.format("text").option("wholetext", str(whole).lower()).load(landing).select(F.col("_metadata.file_path").alias("name"), "value")
 
     def append(batch: DataFrame, _: int) -> None:
         rows = parse_feeds(batch, "name", "value").where("trim(url) <> ''")
         rows = rows.select(url_key(F.col("url")).alias("url_key"), canonical_url(F.col("url")).alias("canonical_url"), "title", "summary", "published", "feed", "entry_no")
-        first = first_of_each(rows, "url_key", ["feed", "entry_no"]).drop("entry_no")
-        stored = batch.sparkSession.read.schema(STORED).parquet(out) if _exists(batch.sparkSession, out) else batch.sparkSession.createDataFrame([], STORED)
-        unseen(first, stored, "url_key").select(*[c.split()[0] for c in STORED.split(", ")]).write.mode("append").parquet(out)
+        first = first_of_each(rows, "url_key", ["feed", "entry_no"]).drop("entry_no").withColumn("prefix", F.left("url_key", F.lit(2))).persist()
+        session = batch.sparkSession
+        touched = [r[0] for r in first.select("prefix").distinct().collect()]  # two hexadecimal digits: 256 at most
+        if touched:
+            stored = session.read.schema(f"{STORED}, prefix string").parquet(out).where(F.col("prefix").isin(touched)) if _exists(session, out) else session.createDataFrame([], STORED)
+            unseen(first, stored, "url_key").select(*[c.split()[0] for c in STORED.split(", ")], "prefix").write.partitionBy("prefix").mode("append").parquet(out)
+        first.unpersist()
 
     return documents.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stop_gracefully(query: StreamingQuery, wait_s: float = 10.0) -> None:
+    """Let a query finish what it has at hand, then stop it; what wasn't committed is read again next time."""
+    if query.isActive:
+        query.processAllAvailable() if wait_s is None else query.awaitTermination(wait_s)
+    query.stop()
+
+
+def work_queue(spark: SparkSession, pending: str, schema: str, handle: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id", files: int = 1) -> StreamingQuery:
+    """A queue of work over a folder of pending rows: each row is handled once, `files` files at a time, oldest first.
+
+    The stream's checkpoint takes the place of row locks: what a batch was given is given to no other, and a batch that
+    failed is given again. Handled rows are appended under their batch; a batch that is given again replaces what it wrote."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("latestFirst", "false").parquet(pending)
+
+    def work(batch: DataFrame, number: int) -> None:
+        handle(batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -6,13 +6,13 @@ import os
 import duckdb
 import pytest
 
-from newsloom.plans import catalogue, core
+from newsloom.plans import catalogue, core, operations
 from newsloom.session import TABLES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-QUERIES = {**catalogue.QUERIES, **core.QUERIES}
-ORACLES = {**catalogue.ORACLES, **core.ORACLES}
+QUERIES = {**catalogue.QUERIES, **operations.QUERIES, **core.QUERIES}
+ORACLES = {**catalogue.ORACLES, **operations.ORACLES, **core.ORACLES}
 
 
 @pytest.fixture(scope="module")
