@@ -1,21 +1,21 @@
 """The k most similar vectors of every vector by shifted space-filling curves (problem 7).
 
 Vectors are projected to a few dimensions (principal axes of a bounded sample of SAMPLE vectors, turned at random for
-each curve), shifted, and put on a Hilbert curve; the place on the curve is the key. Spark range-partitions and sorts
-each curve; along it, every vector is compared with all vectors of its own stretch of HALF neighbours and of the two
-stretches beside it, as one matrix product. The curves differ in rotation and shift, so neighbours that one curve
-parts are met on another. The best k of every curve are merged.
+each curve), shifted, and put on a Hilbert curve; the place on the curve, with a few bits of the key's hash below it, is
+the sort key. Each curve is cut into ranges of RANGE stretches by quantiles of the places of all vectors; a range also
+gets the stretch beyond each of its ends, so that a window never ends at a range's bound. In a range, every vector is compared with all vectors of its
+own stretch of HALF neighbours and of the two stretches beside it, as one matrix product. The curves differ in rotation
+and shift, so neighbours that one curve parts are met on another. The best k of every curve are merged.
 
 A fixed window sees a share of all vectors that falls as 1/n, so the number of curves grows with n (`curves_for`):
 CURVES up to n = SEEN * HALF, then as the power GROWTH of n. Each vector is compared with curves * 3 * HALF others. The
 curves are done CURVES at a time, each group reduced to the best k before the next, so that the rows shuffled at once
 don't grow faster than n. Vectors travel as
 16-bit fixed-point numbers of their unit length, which changes a cosine by a few millionths. Equal vectors get
-different places by their key, so a hot group is spread over as many stretches as it fills.
+different places by their key's hash, so a hot group is spread over several ranges, and within a range over as many stretches as it fills.
 
 Texts that aren't a JSON list of `dims` finite numbers, and all-zero lists, take no part. A vector is never its own
-neighbour; repeated rows of one key count once. Spark samples the bounds of its range partitions, so beyond one
-partition two runs may differ in a few of the farther neighbours; within a run all agree. With fewer than k others, as many as there are come out.
+neighbour; repeated rows of one key count once. With fewer than k others, as many as there are come out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.ranks import sieve
@@ -35,6 +35,9 @@ from newsloom.session import cut
 SAMPLE = 4096
 CURVES = 5
 HALF = 2048
+RANGE = 8  # stretches in a range
+TIES = 5  # bits of the key's hash below a place
+QUERIES = 10_000  # of a search by brute force that are held at once
 SEEN = 20  # stretches to which CURVES curves are enough
 GROWTH = 0.6  # of the number of curves beyond, so that recall of far neighbours stays about level
 AXES = 24
@@ -173,35 +176,72 @@ def prepared(df: DataFrame, key: str, text: str, dims: int) -> DataFrame:
     return maybe(vectors, "key", False).unionByName(maybe(vectors, "key").dropDuplicates(["key"]))
 
 
-def _placed(vectors: DataFrame, curves: Curves, first: int, last: int) -> DataFrame:
-    """(key, packed, step, curve, place) of every vector on the curves from `first` to before `last`."""
+def _cuts(places: DataFrame, n: int, half: int) -> dict[int, np.ndarray]:
+    """{curve: (ranges - 1, 3) places}: the bounds between the ranges of every curve, and the places about a stretch
+    before and behind each, by quantiles over all vectors (half a dozen numbers for each RANGE * `half` vectors)."""
+    ranges = max(1, -(-n // (RANGE * half)))
+    if ranges == 1:
+        return {}
+    beside = 1.05 * half / n  # a little more than a stretch, as quantiles are approximate
+    probs = [min(1.0, max(0.0, k / ranges + d)) for k in range(1, ranges) for d in (-beside, 0.0, beside)]
+    found = places.groupBy("curve").agg(F.percentile_approx("place", probs, max(10_000, int(20 * n / half))).alias("q"))
+    return {r["curve"]: np.array(r["q"], np.int64).reshape(-1, 3) for r in found.collect()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _ordered(vectors: DataFrame, curves: Curves, first: int, last: int, n: int, half: int) -> DataFrame:
+    """(curve, range, own, key, packed, step) of every vector on the curves from `first` to before `last`, in the order of
+    each range; own: false for the vectors that a range has from its neighbours."""
+
+    def places(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        ties = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TIES)
+        return curves.keys(x, first, last) << TIES | ties.astype(np.int64)[:, None]
+
+    def only_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = unpack(list(batch["packed"]), batch["step"].to_numpy()).astype(np.float64)
-                yield batch.assign(places=list(curves.keys(x, first, last)))
-
-    places = vectors.select("key", "packed", "step").mapInPandas(run, "key long, packed binary, step float, places array<long>")
-    return places.select("key", "packed", "step", F.posexplode("places").alias("curve", "place"))
+                at = places(unpack(list(batch["packed"]), batch["step"].to_numpy()).astype(np.float64), batch["key"].to_numpy())
+                yield pd.DataFrame({"curve": np.tile(np.arange(at.shape[1], dtype=np.int32), len(at)), "place": at.ravel()})
 
+    cuts = _cuts(vectors.mapInPandas(only_places, "curve int, place long"), n, half) if n > RANGE * half else {}
 
-def _stretches(batches: Iterator[pd.DataFrame], half: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(curve, keys, vectors) of consecutive stretches of a sorted partition."""
-    curve, keys, packed, steps = None, [], [], []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = places(unpack(list(batch["packed"]), batch["step"].to_numpy()).astype(np.float64), batch["key"].to_numpy())
+            for curve in range(at.shape[1]):
+                place, bounds = at[:, curve], cuts.get(curve, np.zeros((0, 3), np.int64))
+                own = np.searchsorted(bounds[:, 1], place, side="right")
+                low = np.searchsorted(bounds[:, 2], place, side="right")  # the first range that still wants it
+                high = np.searchsorted(bounds[:, 0], place, side="right")
+                for away in range(-2, 3):
+                    to = own + away
+                    keep = np.flatnonzero((to >= low) & (to <= high)) if away else np.arange(len(place))
+                    if len(keep):
+                        yield batch.iloc[keep].assign(curve=np.int32(curve), range=to[keep].astype(np.int32), own=away == 0, place=place[keep])
+
+    rows = vectors.select("key", "packed", "step").mapInPandas(run, "key long, packed binary, step float, curve int, range int, own boolean, place long")
+    groups = (last - first) * (1 + len(next(iter(cuts.values()), ())))
+    return rows.repartition(max(1, groups), "curve", "range").sortWithinPartitions("curve", "range", "place", "key")
+
+
+def _stretches(batches: Iterator[pd.DataFrame], half: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """((curve, range), keys, vectors, own) of consecutive stretches of a sorted partition."""
+    curve, keys, packed, steps, owned = None, [], [], [], []
 
     def flush():
-        return curve, np.array(keys, np.int64), unpack(packed, np.array(steps))
+        return curve, np.array(keys, np.int64), unpack(packed, np.array(steps)), np.array(owned, bool)
 
     for batch in batches:
-        for c, k, p, s in zip(batch["curve"], batch["key"], batch["packed"], batch["step"]):
-            if keys and (c != curve or len(keys) >= half):
+        for c, r, k, p, s, o in zip(batch["curve"], batch["range"], batch["key"], batch["packed"], batch["step"], batch["own"]):
+            if keys and ((c, r) != curve or len(keys) >= half):
                 yield flush()
-                keys, packed, steps = [], [], []
-            curve = c
+                keys, packed, steps, owned = [], [], [], []
+            curve = (c, r)
             keys.append(k)
             packed.append(p)
             steps.append(s)
+            owned.append(o)
     if keys:
         yield flush()
 
@@ -220,14 +260,13 @@ def nearest(df: DataFrame, key: str, text: str, dims: int, k: int = 10, half: in
     n = vectors.count()
     count = curves_for(n, half)
     curves = Curves(_sample(_rows(df, key, text), dims), count)
-    parts = max(1, -(-n * CURVES // (8 * half)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def emit(keys, best):
-            sims, names = best
+        def emit(keys, own, best):
+            keys, sims, names = keys[own], best[0][own], best[1][own]
             keep = np.isfinite(sims)
             rows = [(a[g], b[g]) for a, b, g in zip(names, sims, keep)]
-            return pd.DataFrame({"key": keys, "names": [a for a, _ in rows], "sims": [b for _, b in rows]})
+            return pd.DataFrame({"key": keys, "names": pd.Series([a for a, _ in rows], dtype=object), "sims": pd.Series([b for _, b in rows], dtype=object)})
 
         def join(a, b):
             sims, names = np.concatenate([a[0], b[0]], 1), np.concatenate([a[1], b[1]], 1)
@@ -239,24 +278,23 @@ def nearest(df: DataFrame, key: str, text: str, dims: int, k: int = 10, half: in
         def other(keys_a, keys_b, sims):
             return np.where(keys_a[:, None] == keys_b[None, :], -np.inf, sims)
 
-        last = None  # curve, keys, vectors, best so far
-        for curve, keys, x in _stretches(batches, half):
-            own = _best(other(keys, keys, x @ x.T), keys, k)
+        last = None  # curve and range, keys, vectors, own, best so far
+        for curve, keys, x, own in _stretches(batches, half):
+            best = _best(other(keys, keys, x @ x.T), keys, k)
             if last is not None and last[0] == curve:
                 s = other(last[1], keys, last[2] @ x.T)
-                yield emit(last[1], join(last[3], _best(s, keys, k)))
-                own = join(own, _best(s.T, last[1], k))
+                yield emit(last[1], last[3], join(last[4], _best(s, keys, k)))
+                best = join(best, _best(s.T, last[1], k))
             elif last is not None:
-                yield emit(last[1], last[3])
-            last = curve, keys, x, own
+                yield emit(last[1], last[3], last[4])
+            last = curve, keys, x, own, best
         if last is not None:
-            yield emit(last[1], last[3])
+            yield emit(last[1], last[3], last[4])
 
     def best(first: int) -> DataFrame:
         """(key, z) of a group of curves: the k best, nearest first."""
-        placed = _placed(vectors, curves, first, min(first + CURVES, count))
-        ordered = placed.repartitionByRange(parts, "curve", "place", F.xxhash64("key")).sortWithinPartitions("curve", "place", F.xxhash64("key"))
-        found = ordered.select("curve", "key", "packed", "step").mapInPandas(run, "key long, names array<long>, sims array<float>")
+        ordered = _ordered(vectors, curves, first, min(first + CURVES, count), n, half)
+        found = ordered.select("curve", "range", "own", "key", "packed", "step").mapInPandas(run, "key long, names array<long>, sims array<float>")
         return merged(found.select("key", F.arrays_zip(F.transform("sims", lambda s: -s).alias("d"), F.col("names").alias("n")).alias("z")))
 
     def merged(lists: DataFrame) -> DataFrame:
@@ -281,24 +319,41 @@ def similar_pairs(near: DataFrame, key: str, least: float) -> DataFrame:
 def exact_nearest(df: DataFrame, key: str, text: str, dims: int, every: int, k: int = 10) -> DataFrame:
     """(key, neighbour, rank, similarity) by brute force, for the stated queries: keys divisible by `every`.
 
-    The queries are compared with all vectors in blocks; each block returns its k best for every query.
+    The queries are compared with all vectors in blocks: at most about QUERIES of them go to the executors at a time, and
+    every block returns its k best for each of them.
     """
     vectors = prepared(df, key, text, dims)
     spark = df.sparkSession
-    block = 1024
-    queries = vectors.where(F.col("key") % every == 0).select("key", "packed", "step")
-    rows = queries.groupBy(F.pmod(F.floor(F.col("key") / every), F.lit(1 + vectors.count() // (every * block))).alias("block")).agg(F.collect_list(F.struct("key", "packed", "step")).alias("q"))
-    shared = spark.sparkContext.broadcast([[(q["key"], bytes(q["packed"]), q["step"]) for q in r["q"]] for r in rows.collect()])  # one vector in `every`
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, x = batch["key"].to_numpy(), unpack(list(batch["packed"]), batch["step"].to_numpy())
-            for group in shared.value:
-                q = np.array([g[0] for g in group], np.int64)
-                sims = unpack([g[1] for g in group], np.array([g[2] for g in group])) @ x.T
-                sims, names = _best(np.where(q[:, None] == keys[None, :], -np.inf, sims), keys, k)
-                out = pd.DataFrame({"key": np.repeat(q, sims.shape[1]), "n": names.ravel(), "s": sims.ravel().astype(np.float64)})
-                yield out[np.isfinite(out["s"])]
-
-    ranked = vectors.mapInPandas(run, "key long, n long, s double").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s"), "n")))
-    return ranked.where(F.col("rank") <= k).select(F.col("key").alias(key), F.col("n").alias("neighbour"), "rank", F.col("s").alias("similarity"))
+    queries = cut(vectors.where(F.col("key") % every == 0).select("key", "packed", "step", F.xxhash64("key").alias("h")))
+    turns = max(1, -(-queries.count() // QUERIES))
+    out = None
+    for turn in range(turns):
+        rows = queries.where(F.pmod("h", F.lit(turns)) == turn).orderBy("key").collect()  # about QUERIES
+        held = spark.sparkContext.broadcast((np.array([r["key"] for r in rows], np.int64), [bytes(r["packed"]) for r in rows], np.array([r["step"] for r in rows], np.float32)))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            names, packed, steps = held.value
+            q = unpack(packed, steps) if len(names) else None
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the partition, by block of queries
+            for batch in batches:
+                keys = batch["key"].to_numpy()
+                if q is None or not len(keys):
+                    continue
+                x = unpack(list(batch["packed"]), batch["step"].to_numpy())
+                for begin in range(0, len(names), 1024):
+                    own = names[begin : begin + 1024]
+                    sims, near = _best(np.where(own[:, None] == keys[None, :], -np.inf, q[begin : begin + 1024] @ x.T), keys, k)
+                    if begin in best:
+                        sims, near = np.concatenate([best[begin][0], sims], 1), np.concatenate([best[begin][1], near], 1)
+                        at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                        sims, near = np.take_along_axis(sims, at, 1), np.take_along_axis(near, at, 1)
+                    best[begin] = sims, near
+            for begin, (sims, near) in best.items():
+                part = pd.DataFrame({"key": np.repeat(names[begin : begin + 1024], sims.shape[1]), "n": near.ravel(), "s": sims.ravel().astype(np.float64)})
+                yield part[np.isfinite(part["s"])]
+
+        found = vectors.mapInPandas(run, "key long, n long, s double")
+        ranked = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "n"))), 1, k).alias("z"))
+        out = ranked if out is None else out.unionByName(ranked)
+    top = out.select("key", F.posexplode("z").alias("pos", "x"))
+    return top.select(F.col("key").alias(key), F.col("x.n").alias("neighbour"), (F.col("pos") + 1).alias("rank"), (-F.col("x.d")).alias("similarity"))
