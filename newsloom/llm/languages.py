@@ -15,6 +15,8 @@ get no language. Texts are scored whole, however long. Repeated rows give repeat
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -220,6 +222,30 @@ def train(texts: list[tuple[str, str]], titles: list[tuple[str, str]], codes: li
     return model
 
 
+_FITTED: dict[bytes, Model] = {}  # of this process, by what they were trained on
+
+
+def trained(texts: list[tuple[str, str]], titles: list[tuple[str, str]], codes: list[str]) -> Model:
+    """As `train`, but a model that was trained on the same samples in this process is used again."""
+    seen = hashlib.blake2b(repr((texts, titles, codes)).encode("utf-8", "surrogatepass")).digest()
+    if seen not in _FITTED:
+        if len(_FITTED) >= 4:
+            _FITTED.clear()
+        _FITTED[seen] = train(texts, titles, codes)
+    return _FITTED[seen]
+
+
+def save(model: Model, path: str) -> None:
+    """A trained model as one file of arrays, for jobs that don't train their own."""
+    np.savez_compressed(path, table=model.table, names=np.array([json.dumps([model.families, model.pairs])]))
+
+
+def load(path: str) -> Model:
+    with np.load(path) as f:
+        families, pairs = json.loads(str(f["names"][0]))
+        return Model(families, [tuple(p) for p in pairs], f["table"])
+
+
 def classify(texts: list[str], model: Model) -> list[tuple[str | None, float, int]]:
     """(language, margin, letters) of each text as one unit."""
     out: list[tuple[str | None, float, int]] = []

@@ -24,18 +24,18 @@ def _language_inputs(spark: SparkSession, sf_dir: str):
     sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"), languages.normal_label(F.col("language"), codes).alias("label"))
     titles = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "source_id", "title").join(F.broadcast(sources), "source_id", "left")
     texts = table(spark, sf_dir, "cleaned_articles").select("id", "raw_article_id", "clean_text", languages.normal_label(F.col("language"), codes).alias("label"))
-    model = languages.train(languages.sample_rows(texts, "id", "clean_text", "label"), languages.sample_rows(titles, "raw_article_id", "title", "label"), codes)
+    model = languages.trained(languages.sample_rows(texts, "id", "clean_text", "label"), languages.sample_rows(titles, "raw_article_id", "title", "label"), codes)
     return titles, texts, model
 
 
 def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(place, raw_article_id, text_id, seg_no, lang, confidence, letters, label): every title, and every stretch of every text."""
+    """(place, raw_article_id, text_id, seg_no, lang, confidence, chars, label): every title, and every stretch of every text."""
     titles, texts, model = _language_inputs(spark, sf_dir)
     said = languages.title_languages(titles, "raw_article_id", "title", "site", model, keep=("label",))
-    a = said.select(F.lit("title").alias("place"), "raw_article_id", F.lit(None).cast("long").alias("text_id"), F.lit(0).alias("seg_no"), "lang", "confidence", F.lit(None).cast("long").alias("letters"), "label")
+    a = said.select(F.lit("title").alias("place"), "raw_article_id", F.lit(None).cast("long").alias("text_id"), F.lit(0).alias("seg_no"), "lang", "confidence", F.lit(None).cast("long").alias("chars"), "label")
     parts = languages.text_stretches(texts, "id", "clean_text", model)
     b = parts.join(texts.select("id", "raw_article_id", "label"), "id")
-    return a.unionByName(b.select(F.lit("text").alias("place"), "raw_article_id", F.col("id").alias("text_id"), "seg_no", "lang", "confidence", "letters", "label"))
+    return a.unionByName(b.select(F.lit("text").alias("place"), "raw_article_id", F.col("id").alias("text_id"), "seg_no", "lang", "confidence", (F.col("end_char") - F.col("start_char")).alias("chars"), "label"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = p1_languages(spark, sf_dir)
     titles = all_.where("place = 'title' and (label is null or lang <> label)")
     texts = all_.where("place = 'text'")
-    per = texts.groupBy("text_id", "raw_article_id", "label", "lang").agg(F.sum("letters").alias("n"), F.collect_list("seg_no").alias("segs"))
+    per = texts.groupBy("text_id", "raw_article_id", "label", "lang").agg(F.sum("chars").alias("n"), F.collect_list("seg_no").alias("segs"))
     whole = per.groupBy("text_id", "raw_article_id", "label").agg(
         F.max_by("lang", F.struct("n", "lang")).alias("main"), F.count("*").alias("languages"), F.flatten(F.collect_list(F.transform("segs", lambda s: F.struct(s.alias("seg_no"), F.col("lang").alias("lang"))))).alias("parts")
     )
