@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.session import written
+
 # Letters that look alike, as Latin, Cyrillic, Greek, Armenian, Cherokee; - where a script has none.
 LOOKALIKES = (
     "A А Α - Ꭺ,B В Β - Ᏼ,C С - - Ꮯ,D - - - Ꭰ,E Е Ε - Ꭼ,G - - - Ꮐ,H Н Η - Ꮋ,I І Ι - -,J Ј - - Ꭻ,K К Κ - Ꮶ,L - - Լ Ꮮ,M М Μ - Ꮇ,N - Ν - -,"
@@ -125,7 +127,7 @@ def consistent(text: Column) -> Column:
 def lookalike_variants(df: DataFrame, key: str, text: str) -> DataFrame:
     """(form, variant): the distinct spellings of every form that occurs in more than one."""
     spelt = df.select(F.col(f"`{text}`").alias("variant")).where("variant is not null").distinct()
-    spelt = spelt.select("variant", consistent(F.col("variant")).alias("form")).where("form <> ''")
+    spelt = written(spelt.select("variant", consistent(F.col("variant")).alias("form")).where("form <> ''"), "spellings")  # once for both uses
     many = spelt.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     return spelt.join(many, "form", "left_semi").select("form", "variant")
 
@@ -136,7 +138,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     Spellings are paired first and rows joined to them afterwards, so rows with one and the same text, however many,
     are never compared with each other. Null and blank texts take no part.
     """
-    spelt = lookalike_variants(df, key, text)
+    spelt = written(lookalike_variants(df, key, text), "variants")
     pairs = spelt.alias("a").join(spelt.alias("b"), "form").where("a.variant <> b.variant")
     pairs = pairs.select(F.col("a.variant").alias("va"), F.col("b.variant").alias("vb"))
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("v"))
