@@ -188,6 +188,18 @@ def _cuts(places: DataFrame, n: int, half: int) -> dict[int, np.ndarray]:
     return {r["curve"]: np.array(r["q"], np.int64).reshape(-1, 3) for r in found.collect()}
 
 
+def _slots(spark, count: int) -> np.ndarray:
+    """`count` numbers that Spark's hash partitioning puts into `count` different partitions."""
+    found: dict[int, int] = {}
+    begin, step = 0, 32 * count
+    while len(found) < count:
+        rows = spark.range(begin, begin + step).groupBy(F.pmod(F.hash("id"), F.lit(count)).alias("p")).agg(F.min("id").alias("id")).collect()  # at most `count`
+        for r in rows:
+            found.setdefault(r["p"], r["id"])
+        begin += step
+    return np.array([found[p] for p in range(count)], np.int64)
+
+
 def _ordered(vectors: DataFrame, curves: Curves, first: int, last: int, n: int, half: int) -> DataFrame:
     """(curve, range, own, key, packed, step) of every vector on the curves from `first` to before `last`, in the order of
     each range; own: false for the vectors that a range has from its neighbours."""
@@ -203,6 +215,8 @@ def _ordered(vectors: DataFrame, curves: Curves, first: int, last: int, n: int,
                 yield pd.DataFrame({"curve": np.tile(np.arange(at.shape[1], dtype=np.int32), len(at)), "place": at.ravel()})
 
     cuts = _cuts(vectors.mapInPandas(only_places, "curve int, place long"), n, half) if n > RANGE * half else {}
+    ranges = 1 + len(next(iter(cuts.values()), ()))
+    slots = _slots(vectors.sparkSession, (last - first) * ranges)  # each range is a partition of its own
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -218,11 +232,10 @@ def _ordered(vectors: DataFrame, curves: Curves, first: int, last: int, n: int,
                     to = own + away
                     keep = np.flatnonzero((to >= low) & (to <= high)) if away else np.arange(len(place))
                     if len(keep):
-                        yield batch.iloc[keep].assign(curve=np.int32(curve), range=to[keep].astype(np.int32), own=away == 0, place=place[keep])
+                        yield batch.iloc[keep].assign(curve=np.int32(curve), range=to[keep].astype(np.int32), own=away == 0, place=place[keep], slot=slots[curve * ranges + to[keep]])
 
-    rows = vectors.select("key", "packed", "step").mapInPandas(run, "key long, packed binary, step float, curve int, range int, own boolean, place long")
-    groups = (last - first) * (1 + len(next(iter(cuts.values()), ())))
-    return rows.repartition(max(1, groups), "curve", "range").sortWithinPartitions("curve", "range", "place", "key")
+    rows = vectors.select("key", "packed", "step").mapInPandas(run, "key long, packed binary, step float, curve int, range int, own boolean, place long, slot long")
+    return rows.repartition(len(slots), "slot").sortWithinPartitions("curve", "range", "place", "key")
 
 
 def _stretches(batches: Iterator[pd.DataFrame], half: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
