@@ -205,7 +205,9 @@ def category_decisions(ids: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def fan_out(decisions: DataFrame) -> DataFrame:
-    """(article_id, label, relevance, confidence): bridge rows of decisions; only the primary one has a confidence."""
+    """(article_id, label, relevance, confidence): bridge rows of country or category decisions; only the primary one has a confidence."""
+    if "mentioned" not in decisions.columns:
+        decisions = decisions.withColumn("mentioned", F.array().cast("array<string>"))
     tagged = F.concat(
         F.when(F.col("primary").isNotNull(), F.array(F.struct(F.col("primary").alias("label"), F.lit("primary").alias("relevance"), F.col("confidence").alias("confidence")))).otherwise(F.array().cast("array<struct<label:string,relevance:string,confidence:double>>")),
         F.transform("secondary", lambda c: F.struct(c.alias("label"), F.lit("secondary").alias("relevance"), F.lit(0.0).alias("confidence"))),
@@ -214,6 +216,13 @@ def fan_out(decisions: DataFrame) -> DataFrame:
     return decisions.select(F.col("id").alias("article_id"), F.explode(tagged).alias("x")).select("article_id", "x.label", "x.relevance", "x.confidence")
 
 
+def bridge_rows(fanned: DataFrame, labels: DataFrame, articles: DataFrame) -> DataFrame:
+    """(article_id, label_id, is_primary, confidence, published_at): fanned-out labels by their ids (labels: label,
+    label_id), with the article's time beside them (articles: article_id, published_at); unknown labels are dropped."""
+    out = fanned.join(labels, "label").join(articles, "article_id")
+    return out.select("article_id", "label_id", (F.col("relevance") == "primary").alias("is_primary"), "confidence", "published_at")
+
+
 def evaluated(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """(tag, cases, passed, false_positives, misses) of labelled cases (id, expect, allow, must_not, tags) against
     predictions (id, primary). A false positive is a label where none was expected or one that must not be; a miss is

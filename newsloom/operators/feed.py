@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import cursor
 from newsloom.session import cut
 
-MAX_VALUES, MAX_LIMIT = 50, 50
+MAX_VALUES, MAX_LIMIT, KEPT_DAYS = 50, 50, 90
 
 
 def csv_values(text: str | None) -> list[str]:
@@ -46,6 +46,8 @@ class FeedRequest:
             raise ValueError("limit out of range")
         if self.days is not None and not 1 <= self.days <= 90:
             raise ValueError("days out of range")
+        if self.day is not None and self.now is not None and not 0 <= (self.now.date() - self.day).days <= KEPT_DAYS:
+            raise ValueError("a day that isn't kept")
         if self.days is not None and self.now is None:
             raise ValueError("days need the time they count from")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
-from newsloom.functions.urls import base_url, canonical_url, url_key
+from newsloom.functions.urls import TRACKING, base_url, canonical_url, url_key
 from newsloom.functions.vectors import vector_literal
 from newsloom.operators import classify, feed, ingest, limits, similarity
 from newsloom.plans.views import registry, view
@@ -353,16 +353,28 @@ def category_scores(spark, d):
     return classify.keyword_scores(view(spark, d, "v_texts").select("id", "title", "description"), _rules(spark, d)).select("id", "slug", "score")
 
 
-@query(f"""WITH {_CATS}, rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, sort_order, slug) AS r, first_value(score) OVER w AS ts, first_value(parent) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY id ORDER BY score DESC, sort_order, slug)),
-    second AS (SELECT id, list(slug ORDER BY r)[1:2] AS s FROM rk WHERE r > 1 AND score >= ts * 0.6 AND parent <> tp AND ts >= 1 GROUP BY id)
-    SELECT a.id, CASE WHEN score >= 1 THEN slug END AS "primary", CAST(CASE WHEN score IS NULL THEN 0 WHEN score < 1 THEN round(score, 2) ELSE round(least(1.0, CAST(score AS DOUBLE) / 3), 2) END AS DOUBLE) AS confidence, coalesce(array_to_string(second.s, ','), '') AS secondary,
-        CASE WHEN score IS NULL OR score < 1 THEN true ELSE least(1.0, CAST(score AS DOUBLE) / 3) < 0.4 END AS needs_review FROM v_texts a LEFT JOIN (SELECT * FROM rk WHERE r = 1) t ON a.id = t.id LEFT JOIN second ON second.id = a.id""")
+_CATEGORY = f"""{_CATS}, rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, sort_order, slug) AS r, first_value(score) OVER w AS ts, first_value(parent) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY id ORDER BY score DESC, sort_order, slug)),
+    second AS (SELECT id, list(slug ORDER BY r)[1:2] AS s FROM rk WHERE r > 1 AND score >= ts * 0.6 AND parent <> tp AND ts >= 1 GROUP BY id),
+    dec AS (SELECT a.id, CASE WHEN score >= 1 THEN slug END AS "primary", CAST(CASE WHEN score IS NULL THEN 0 WHEN score < 1 THEN round(score, 2) ELSE round(least(1.0, CAST(score AS DOUBLE) / 3), 2) END AS DOUBLE) AS confidence, coalesce(array_to_string(second.s, ','), '') AS secondary,
+        CASE WHEN score IS NULL OR score < 1 THEN true ELSE least(1.0, CAST(score AS DOUBLE) / 3) < 0.4 END AS needs_review FROM v_texts a LEFT JOIN (SELECT * FROM rk WHERE r = 1) t ON a.id = t.id LEFT JOIN second ON second.id = a.id)"""
+
+
+@query(f'WITH {_CATEGORY} SELECT id, "primary", confidence, secondary, needs_review FROM dec')
 def category_decision(spark, d):
     texts = view(spark, d, "v_texts").select("id", "title", "description")
     out = classify.category_decisions(texts.select("id"), classify.keyword_scores(texts, _rules(spark, d)))
     return out.select("id", "primary", "confidence", F.array_join("secondary", ",").alias("secondary"), "needs_review")
 
 
+@query(f"""WITH {_CATEGORY}, f AS (SELECT id, "primary" AS slug, true AS is_primary, confidence FROM dec WHERE "primary" IS NOT NULL UNION ALL SELECT id, unnest(string_split(secondary, ',')), false, 0.0 FROM dec WHERE secondary <> '' AND "primary" IS NOT NULL)
+    SELECT f.id AS article_id, c.category_id AS label_id, f.is_primary, f.confidence, t.created_at AS published_at FROM f JOIN v_categories c ON c.slug = f.slug JOIN cleaned_articles t ON t.id = f.id""")
+def category_bridge(spark, d):
+    texts = view(spark, d, "v_texts").select("id", "title", "description")
+    decided = classify.category_decisions(texts.select("id"), classify.keyword_scores(texts, _rules(spark, d)))
+    labels = view(spark, d, "v_categories").select(F.col("slug").alias("label"), F.col("category_id").alias("label_id"))
+    return classify.bridge_rows(classify.fan_out(decided), labels, table(spark, d, "cleaned_articles").select(F.col("id").alias("article_id"), F.col("created_at").alias("published_at")))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
@@ -540,12 +552,27 @@ def response_labels(spark, d):
     return r.select("event_id", category.isNull().alias("failed"), F.when(category.isNull(), None).when(~known | (confidence < 0.4), "Uncategorized").otherwise(category).alias("label"), F.when(category.isNull(), None).when(~known, 0.0).otherwise(confidence).alias("confidence"))
 
 
-@query("SELECT CAST(url AS VARCHAR) AS url, NOT contains(url, '/sport/') AS allowed FROM sources")
+@query("SELECT DISTINCT url, CASE id % 5 WHEN 0 THEN NOT contains(url, '/sport/') WHEN 2 THEN true ELSE false END AS allowed FROM (SELECT id, url || CASE WHEN id % 2 = 0 THEN '/sport/x' ELSE '/news' END AS url FROM sources)")
 def robots_decisions(spark, d):
-    s = table(spark, d, "sources").select("id", "url", "name")
-    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    rules = s.select(host.alias("host"), F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /sport/").alias("body")).dropDuplicates(["host"])
-    return ingest.allowed_by_robots(s.select(host.alias("host"), "url"), rules, "newsloom").select("url", "allowed")
+    """Rules by host: read, forbidden, missing, out of order, and without an answer."""
+    s = table(spark, d, "sources").select("id", F.concat("url", F.when(F.col("id") % 2 == 0, "/sport/x").otherwise("/news")).alias("url"))
+    s = s.withColumn("host", F.regexp_extract("url", "^https?://([^/]+)", 1))
+    kind = F.col("id") % 5
+    status = F.when(kind == 0, 200).when(kind == 1, 403).when(kind == 2, 404).when(kind == 3, 503)
+    rules = s.where(kind != 4).select("host", status.alias("status"), F.when(kind == 0, "User-agent: *\nDisallow: /sport/").alias("body")).dropDuplicates(["host"])
+    return ingest.allowed_by_robots(s.select("host", "url").distinct(), rules, "newsloom").select("url", "allowed")
+
+
+_TRACKED = "SELECT id, 'http://news.example/' || CAST(id AS {t}) || '?a=1&' || {name} || '=x&b=' || CAST(id % 3 AS {t}) AS url FROM {r}"
+
+
+@query(f"SELECT id, 'https://news.example/' || CAST(id AS VARCHAR) || '?a=1&b=' || CAST(id % 3 AS VARCHAR) AS canonical FROM raw_articles")
+def url_canonical_tracking(spark, d):
+    """Every tracking parameter goes, in capitals as well, and no other does."""
+    names = F.array(*[F.lit(n.upper() if k % 2 else n) for k, n in enumerate(TRACKING)])
+    r = table(spark, d, "raw_articles").select("id", F.element_at(names, (F.col("id") % len(TRACKING) + 1).cast("int")).alias("name"))
+    urls = spark.sql(_TRACKED.format(t="STRING", name="name", r="{r}"), r=r)
+    return urls.select("id", canonical_url(F.col("url")).alias("canonical"))
 
 
 @query("SELECT id, slug, name FROM countries WHERE is_enabled ORDER BY sort_order, name")

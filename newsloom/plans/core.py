@@ -13,7 +13,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw_article_id, published_us): one UTC instant for every raw article whose published_at states a moment."""
     sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), "tz", "date_order")
     raw = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "source_id", "published_at")
-    located = raw.join(F.broadcast(sources), "source_id", "left")
+    located = raw.join(sources, "source_id", "left")
     out = normalise_instants(located, "published_at", "tz", "date_order")
     return out.where("published_us is not null").select("raw_article_id", "published_us").distinct()
 

@@ -129,6 +129,16 @@ def html_strip_known(spark, d):
     return spark.createDataFrame([r[:2] for r in _MARKUP], "id int, s string").select("id", tx.strip_html(F.col("s")).alias("plain"))
 
 
+_DIRTY = [
+    (1, "  Said on Monday\u00a0by the council &amp; all.  See https://e.x/a?b=1 now. "), (2, "The same long sentence stands here. The same long sentence stands here. Another long sentence follows it."), (3, "“Quoted” — text that is long enough"), (4, ""),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 'Said on Monday by the council & all'), (2, 'The same long sentence stands here. Another long sentence follows it.'), (3, '\"Quoted\"  -  text that is long enough'), (4, '')) t(id, cleaned)")
+def clean_text_known(spark, d):
+    return spark.createDataFrame(_DIRTY, "id int, s string").select("id", tx.cleaned(F.col("s")).alias("cleaned"))
+
+
 # Publishers
 
 _IDENTITY = """w AS (SELECT name, list_filter(string_split(regexp_replace(regexp_replace(trim(lower(name)), '^(the|an|a) ', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM (SELECT name FROM sources UNION SELECT name FROM wanted)),

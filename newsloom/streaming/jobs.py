@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -90,17 +91,18 @@ def admission_stream(events: DataFrame, rate: int = 60, window_s: float = 60.0)
     """(client, event_id, accepted) for a stream of (client, event_id, ts); the state is the accepted times of one window."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+        kept = deque(state.get[0] if state.exists else ())
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for ident, ts in zip(rows["event_id"], rows["ts"]):
             t = pd.Timestamp(ts).timestamp()
-            kept = [x for x in kept if x > t - window_s]
+            while kept and kept[0] <= t - window_s:
+                kept.popleft()
             ok = len(kept) < rate
             if ok:
                 kept.append(t)
             out.append((key[0], ident, ok))
-        state.update((kept,))
+        state.update((list(kept),))
         yield pd.DataFrame(out, columns=["client", "event_id", "accepted"])
 
     return events.groupBy("client").applyInPandasWithState(step, "client string, event_id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
