@@ -22,7 +22,7 @@ def _language_inputs(spark: SparkSession, sf_dir: str):
     """Titles with their source's label, texts with their own, and a model trained on a sample of both."""
     codes = [r["code"] for r in table(spark, sf_dir, "languages").select("code").where("code is not null").distinct().orderBy("code").collect()] or sorted(languages.SEED)  # a table of settings
     sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"), languages.normal_label(F.col("language"), codes).alias("label"))
-    titles = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "source_id", "title").join(F.broadcast(sources), "source_id", "left")
+    titles = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "source_id", "title").join(sources, "source_id", "left")
     texts = table(spark, sf_dir, "cleaned_articles").select("id", "raw_article_id", "clean_text", languages.normal_label(F.col("language"), codes).alias("label"))
     model = languages.trained(languages.sample_rows(texts, "id", "clean_text", "label"), languages.sample_rows(titles, "raw_article_id", "title", "label"), codes)
     return titles, texts, model
@@ -90,7 +90,7 @@ def p4_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw_article_id, source_id, truncated, log_odds, posterior, ending, mark) of every summary."""
     sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"))
     raw = table(spark, sf_dir, "raw_articles").select(F.col("id").alias("raw_article_id"), "source_id", "summary_from_feed")
-    located = raw.join(F.broadcast(sources), "source_id", "left")
+    located = raw.join(sources, "source_id", "left")
     return truncated(located, "raw_article_id", "source_id", "summary_from_feed", "site", table(spark, sf_dir, "cleaned_articles"), "raw_article_id", "clean_text")
 
 
@@ -110,7 +110,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("site"))
     raw = table(spark, sf_dir, "raw_articles").select("id", "source_id", "url", "raw_html")
     host = F.coalesce(F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
-    placed = raw.join(F.broadcast(sources), "source_id", "left").select("id", host.alias("host"), "site", "raw_html")
+    placed = raw.join(sources, "source_id", "left").select("id", host.alias("host"), "site", "raw_html")
     html = placed.where("raw_html is not null").select("id", F.lit("raw_html").alias("field"), "host", "site", F.col("raw_html").alias("content"))
     cleaned = table(spark, sf_dir, "cleaned_articles").select(F.col("raw_article_id").alias("id"), "clean_text")
     texts = placed.select("id", "host", "site").join(cleaned, "id").select("id", F.lit("clean_text").alias("field"), "host", "site", F.col("clean_text").alias("content"))
@@ -188,6 +188,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_shares_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reached shares where as many tokens are asked for as all documents have: small sources stop at their repeats."""
+    sized = cut(_sized(spark, sf_dir))
+    targets = table(spark, sf_dir, "mix_targets")
+    there = sized.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("tokens")).first()[0]
+    return reached_shares(mix(sized, targets, int(there or 0)), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start_char, end_char): the sentences of every document."""
     return sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").distinct()
@@ -212,6 +220,7 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_shares_capped": p9_shares_capped,
     "p10_found": p10_found,
 }
 # p7: all pairs by brute force. On tables that fit the curves' windows, as at sf0.01, the operator gives the same rows.
