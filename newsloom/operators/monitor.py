@@ -65,6 +65,12 @@ def run_ledger(events: DataFrame, most_errors: int = 20) -> DataFrame:
     return out.select("run_id", "started_at", "finished_at", status.alias("status"), "entries_seen", "entries_new", "failures", "errors")
 
 
+def worker_counters(outcomes: DataFrame) -> DataFrame:
+    """(claimed, summarized, failed, skipped) of what workers took, from its outcomes (outcome: DONE, FAILED, SKIPPED or null)."""
+    of = lambda name, value: F.count_if(F.col("outcome") == value).alias(name)
+    return outcomes.agg(F.count("*").alias("claimed"), of("summarized", "DONE"), of("failed", "FAILED"), of("skipped", "SKIPPED"))
+
+
 def header_cache(answers: DataFrame) -> DataFrame:
     """(url, etag, last_modified) to ask with next: those of the newest answer that had a body. answers: (url, at, status, etag, last_modified)."""
     good = answers.where("status = 200 and (etag is not null or last_modified is not null)")

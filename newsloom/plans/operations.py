@@ -271,6 +271,11 @@ def storage_decisions(spark, d):
     return used.withColumn("s", monitor.storage_decision(F.col("used"), 20000)).select("source_id", "used", "s.percent", "s.warn", "s.stop")
 
 
+@query("SELECT count(*) AS claimed, count(*) FILTER (enrichment_status = 'DONE') AS summarized, count(*) FILTER (enrichment_status = 'FAILED') AS failed, count(*) FILTER (enrichment_status = 'SKIPPED') AS skipped FROM raw_articles WHERE enrichment_status <> 'PENDING'")
+def worker_counters(spark, d):
+    return monitor.worker_counters(table(spark, d, "raw_articles").where("enrichment_status <> 'PENDING'").select(F.col("enrichment_status").alias("outcome")))
+
+
 @query("SELECT count(*) = 0 AS is_empty, count(*) AS n, max(id) AS last_id FROM raw_articles")
 def table_state(spark, d):
     return table(spark, d, "raw_articles").agg((F.count("*") == 0).alias("is_empty"), F.count("*").alias("n"), F.max("id").alias("last_id"))
