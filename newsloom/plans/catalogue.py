@@ -452,12 +452,28 @@ def seed_changeset(spark, d):
     return ingest.change_set(c.select("slug", "name", "sort_order"), spark.sql(_WANTED, c=c), "slug")
 
 
-@query()
+_NTH = "e AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL)"
+_LEFT = "list_filter(s.kept, lambda x: x > e.ts - INTERVAL 6 HOUR)"
+
+
+@query(
+    f"""WITH RECURSIVE {_NTH}, s AS (SELECT user_id, n, event_id, [ts] AS kept, true AS accepted FROM e WHERE n = 1 UNION ALL
+        SELECT e.user_id, e.n, e.event_id, CASE WHEN len({_LEFT}) >= 3 THEN {_LEFT} ELSE list_append({_LEFT}, e.ts) END, len({_LEFT}) < 3 FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, accepted FROM s"""
+)
 def rate_limiter_sliding(spark, d):
     return limits.sliding_window(table(spark, d, "events"), "user_id", "ts", "event_id", rate=3, window_s=6 * 3600)
 
 
-@query()
+_TOKENS = "least(CAST(3 AS DOUBLE), s.tokens + (e.t - s.last) * (CAST(1 AS DOUBLE) / 3600))"
+
+
+@query(
+    f"""WITH RECURSIVE {_NTH}, s AS (SELECT user_id, n, event_id, CAST(2 AS DOUBLE) AS tokens, t AS last, CAST(0 AS DOUBLE) AS wait_s FROM e WHERE n = 1 UNION ALL
+        SELECT user_id, n, event_id, CASE WHEN k < 1 THEN CAST(0 AS DOUBLE) ELSE k - 1 END, CASE WHEN k < 1 THEN t + (1 - k) / (CAST(1 AS DOUBLE) / 3600) ELSE t END, CASE WHEN k < 1 THEN (1 - k) / (CAST(1 AS DOUBLE) / 3600) ELSE CAST(0 AS DOUBLE) END
+        FROM (SELECT e.user_id, e.n, e.event_id, e.t, {_TOKENS} AS k FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+    SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, wait_s FROM s"""
+)
 def token_bucket_waits(spark, d):
     return limits.token_bucket(table(spark, d, "events"), "user_id", "ts", "event_id", rps=1 / 3600, burst=3)
 
