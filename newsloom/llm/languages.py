@@ -88,6 +88,7 @@ class Model:
     families: list[list[str]]  # the languages of each family
     pairs: list[tuple[str, str]]
     table: np.ndarray  # (2 * BUCKETS + 1024, machines): first the families, then the pairs
+    scale: tuple[float, float] = (2.5, 0.0)  # of margins to log odds of being right, see `calibrated`
 
     def score(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean machine outputs (a wide letter counts 3) and letters of the segments of `text` that begin at `starts`."""
@@ -208,6 +209,7 @@ def train(texts: list[tuple[str, str]], titles: list[tuple[str, str]], codes: li
             raise ValueError("no languages to train on")
         return _fit([t for t, _, _ in sample], [x for _, x, _ in sample])
     model = _fit(*map(list, zip(*seed)), rounds=60)
+    good: list[tuple[str, str]] = []
     for rounds in (25, 40):
         if not sample:
             break
@@ -219,9 +221,43 @@ def train(texts: list[tuple[str, str]], titles: list[tuple[str, str]], codes: li
         # of a row whose label holds for most of it, unsure sentences count as well; a passage in another language doesn't
         good = [(t, x) for (t, x, k), (y, m, _) in zip(sample, said) if x == y or x not in known or (agree[k] > 0 and m < UNSURE)]
         model = _fit(*map(list, zip(*(seed + good))), rounds=rounds)
+    model.scale = calibrated(seed + good)
     return model
 
 
+def calibrated(rows: list[tuple[str, str]]) -> tuple[float, float]:
+    """(slope, offset) that turn a margin into the log odds of the language being right.
+
+    A model of every other row says the language of the rows between; a logistic regression of being right on the
+    margin, with Platt's targets so that nothing is certain, gives the two numbers. Few rows: those of `Model`."""
+    own, other = rows[::2], rows[1::2]
+    if len(rows) < 50 or len({x for _, x in own}) < 2:
+        return Model.scale
+    said = classify([t for t, _ in other], _fit([t for t, _ in own], [x for _, x in own], rounds=25))
+    m = np.array([k for (x, k, _) in said if x is not None])
+    right = np.array([x == y for (x, _, _), (_, y) in zip(said, other) if x is not None], float)
+    n1, n0 = right.sum(), (1 - right).sum()
+    target = np.where(right > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    at = np.array(Model.scale)
+
+    def loss(x: np.ndarray) -> float:
+        z = x[0] * m + x[1]
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    for _ in range(50):  # Newton's steps, halved until the loss falls
+        p = 1 / (1 + np.exp(-np.clip(at[0] * m + at[1], -30, 30)))
+        g = np.array([((p - target) * m).sum(), (p - target).sum()])
+        w = p * (1 - p) + 1e-6
+        step = np.linalg.solve(np.array([[(w * m * m).sum(), (w * m).sum()], [(w * m).sum(), w.sum()]]) + np.eye(2) * 1e-3, g)
+        while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        at = at - step
+        if np.abs(step).max() < 1e-6:
+            break
+    a, b = at
+    return (float(a), float(b)) if np.isfinite(a) and np.isfinite(b) and a > 0 else Model.scale
+
+
 _FITTED: dict[bytes, Model] = {}  # of this process, by what they were trained on
 
 
@@ -237,13 +273,13 @@ def trained(texts: list[tuple[str, str]], titles: list[tuple[str, str]], codes:
 
 def save(model: Model, path: str) -> None:
     """A trained model as one file of arrays, for jobs that don't train their own."""
-    np.savez_compressed(path, table=model.table, names=np.array([json.dumps([model.families, model.pairs])]))
+    np.savez_compressed(path, table=model.table, names=np.array([json.dumps([model.families, model.pairs, model.scale])]))
 
 
 def load(path: str) -> Model:
     with np.load(path) as f:
-        families, pairs = json.loads(str(f["names"][0]))
-        return Model(families, [tuple(p) for p in pairs], f["table"])
+        families, pairs, scale = json.loads(str(f["names"][0]))
+        return Model(families, [tuple(p) for p in pairs], f["table"], tuple(scale))
 
 
 def classify(texts: list[str], model: Model) -> list[tuple[str | None, float, int]]:
@@ -264,8 +300,8 @@ def classify(texts: list[str], model: Model) -> list[tuple[str | None, float, in
     return out
 
 
-def confidence(margin: float) -> float:
-    return round(float(1 / (1 + np.exp(-2.5 * margin))), 4)
+def confidence(margin: float, scale: tuple[float, float] = Model.scale) -> float:
+    return round(float(1 / (1 + np.exp(-np.clip(scale[0] * margin + scale[1], -30, 30)))), 4)
 
 
 def stretches(text: str, parts: list[tuple[int, int, bool]], said: list[tuple[str | None, float, int]]) -> list[tuple[int, int, str, float, int]]:
@@ -340,7 +376,7 @@ def text_stretches(df: DataFrame, key: str, text: str, model: Model) -> DataFram
                     at = 0
                     for j, (t, p) in enumerate(zip(group, parts)):
                         for no, (a, b, x, m, n) in enumerate(stretches(t, p, said[at : at + len(p)])):
-                            rows.append((keys[k + j], no, a, b, x, confidence(m), n))
+                            rows.append((keys[k + j], no, a, b, x, confidence(m, own.scale), n))
                         at += len(p)
                 k = e
             out = pd.DataFrame(rows, columns=[key, "seg_no", "start_char", "end_char", "lang", "confidence", "letters"])
@@ -363,7 +399,7 @@ def title_languages(df: DataFrame, key: str, title: str, site: str, model: Model
             said = dict(zip(there, classify([plain_title(texts[k], sites[k]) for k in there], own)))
             good = [k for k in there if said[k][0]]
             out = {c: [batch[c].iloc[k] for k in good] for c in (key, *keep)}
-            yield pd.DataFrame(out | {"lang": [said[k][0] for k in good], "confidence": [confidence(said[k][1]) for k in good]}, dtype=object).astype({key: batch[key].dtype, "confidence": "float64"})
+            yield pd.DataFrame(out | {"lang": [said[k][0] for k in good], "confidence": [confidence(said[k][1], own.scale) for k in good]}, dtype=object).astype({key: batch[key].dtype, "confidence": "float64"})
 
     plain = df.select(*[F.col(f"`{c}`").alias(c) for c in (key, *keep)], F.col(f"`{title}`").alias("__text"), F.col(f"`{site}`").alias("__site"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *keep))

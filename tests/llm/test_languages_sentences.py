@@ -28,6 +28,35 @@ def test_wrong_labels_in_the_sample_are_left_out():
     assert [x for x, _, _ in lg.classify(["Los vecinos de la ciudad no saben nada", "The people of the town", "12 34", ""], m)] == ["es", "en", None, None]
 
 
+def test_confidence_follows_accuracy():
+    """Rows of mixed words: the more of them are one language's, the surer; confidences are about the share that is right."""
+    import random
+
+    rng = random.Random(3)
+    words = {x: lg.SEED[x].split() for x in ("en", "es", "de", "fr")}
+
+    def row(x, noise):
+        return " ".join(rng.choice(words[x if rng.random() > noise else rng.choice("en es de fr".split())]) for _ in range(rng.randint(1, 6)))
+
+    rows = [(row(x, 0.4), x) for x in words for _ in range(250)]
+    rng.shuffle(rows)
+    scale = lg.calibrated(rows[:600])
+    assert scale[0] > 0 and scale != lg.Model.scale
+    said = lg.classify([t for t, _ in rows[600:]], lg._fit(*map(list, zip(*rows[:600])), rounds=25))
+    sure = [lg.confidence(m, scale) for _, m, _ in said]
+    right = [y == x for (y, _, _), (_, x) in zip(said, rows[600:])]
+    assert abs(sum(sure) / len(sure) - sum(right) / len(right)) < 0.1
+    assert lg.calibrated(rows[:20]) == lg.Model.scale
+
+
+def test_a_model_is_saved_and_used_again(model, tmp_path):
+    lg.save(model, str(tmp_path / "m.npz"))
+    again = lg.load(str(tmp_path / "m.npz"))
+    texts = ["The people of the town", "Los vecinos de la ciudad no saben nada", ""]
+    assert lg.classify(texts, again) == lg.classify(texts, model) and again.scale == model.scale
+    assert lg.trained([], [], CODES) is lg.trained([], [], CODES)
+
+
 def test_stretches(spark, model):
     en, de = "The people of the town have been waiting for a long time.", "Die Leute in der Stadt haben lange gewartet und wissen nichts."
     rows = [(1, f"{en} {en}\n{de} {de}\nHome | Sport\n{en}"), (2, en), (3, None), (4, ""), (5, "123 456"), (6, "News"), (2, en)]
