@@ -228,7 +228,7 @@ ORACLES: dict[str, str] = {
     "p7_found": """WITH j AS (SELECT raw_article_id AS id, CASE WHEN json_valid(vector_json) THEN CAST(vector_json AS JSON) END AS js FROM article_embeddings WHERE model_name = 'local/hash-minilm-384'),
         e AS (SELECT id, js FROM j WHERE json_type(js) = 'ARRAY' AND json_array_length(js) = 384 AND len(list_filter(json_extract(js, '$[*]'), lambda t: json_type(t) NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT'))) = 0),
         v AS (SELECT DISTINCT id, CAST(js AS DOUBLE[]) AS x FROM e),
-        n AS (SELECT id, x FROM v WHERE list_dot_product(x, x) > 0 AND NOT isinf(list_dot_product(x, x))),
+        n AS (SELECT id, x FROM v WHERE list_dot_product(x, x) > 0 AND isfinite(list_dot_product(x, x))),
         s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.x, b.x) AS c FROM n a JOIN n b ON a.id <> b.id),
         r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
         SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 10 AND c >= 0.8"""
