@@ -124,6 +124,49 @@ def test_stories_in_a_crowd_that_shares_a_template(spark):
         assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_lone_pairs_near_the_threshold(spark):
+    """Pairs that share little more than half their windows, long and short, each without a third record."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(180):
+        words, n = story(rng, 120).split(), rng.randint(34, 38)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 120 - n] + story(rng, n).split()))]
+    for k in range(180, 220):
+        words = story(rng, 8).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:6] + story(rng, 2).split()))]
+    df = spark.createDataFrame(rows, "id long, body string")
+    assert {(r["id_a"], r["id_b"]) for r in nd.Duplicates(spark, df, "id", ["body"], 0.5).pairs().collect()} == brute(rows, 0.5)
+
+
+def test_pairs_near_the_threshold_in_a_crowd(spark, monkeypatch):
+    """A crowd in one template, some pairs of it a little above the threshold: all are found and grouped, in whole and in divided nodes."""
+    rng = random.Random(12)
+    template = story(rng, 60)
+    rows = [(k, f"{template} {story(rng, 80)}") for k in range(400)]
+    for k in range(130):
+        words, n = rows[k][1].split(), rng.randint(38, 44)
+        rows.append((1000 + k, " ".join(words[: 140 - n] + story(rng, n).split())))
+    df, want = spark.createDataFrame(rows, "id long, body string"), brute(rows, 0.5)
+    assert len(want) >= 120
+    for cell in (nd.CELL, 30):
+        monkeypatch.setattr(nd, "CELL", cell)
+        found = nd.Duplicates(spark, df, "id", ["body"], 0.5)
+        assert {(r["id_a"], r["id_b"]) for r in found.pairs().collect()} == want
+    head = {r["id"]: r["group_id"] for r in found.groups().collect()}
+    assert all(head[a] == head[b] for a, b in want)
+
+
+def test_meetings_are_all_pairs_of_a_node_across_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    node, group = rng.integers(0, 12, 150).astype(np.uint64), np.sort(rng.integers(0, 40, 150))
+    want = {(i, j) for i in range(150) for j in range(i) if node[i] == node[j] and group[i] != group[j]}
+    for most in (nd.MEET, 7):
+        monkeypatch.setattr(nd, "MEET", most)
+        got = [(max(p), min(p)) for i, j in nd._meetings(node, group) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(want) and set(got) == want
+    assert not list(nd._meetings(np.arange(5, dtype=np.uint64), np.arange(5))) and not list(nd._meetings(np.zeros(5, np.uint64), np.zeros(5)))
+
+
 def test_parsing():
     ok = [1.0] + [0.0] * 3
     assert nb.parse_vector(json.dumps(ok), 4) is not None
