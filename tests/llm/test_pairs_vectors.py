@@ -167,6 +167,38 @@ def test_meetings_are_all_pairs_of_a_node_across_groups(monkeypatch):
     assert not list(nd._meetings(np.arange(5, dtype=np.uint64), np.arange(5))) and not list(nd._meetings(np.zeros(5, np.uint64), np.zeros(5)))
 
 
+def test_further_minima_are_six_bits_of_which_the_fingerprint_has_two():
+    minima = np.random.default_rng(4).integers(0, 2**57, (30, nd.BITS), dtype=np.uint64)
+    minima[1] = minima[0]
+    values = nd.beside_values(nd.fingerprints(minima).view(np.int64), np.stack([np.frombuffer(x.tobytes(), np.uint8) for x in nd.beside_bits(minima)]))
+    assert (values == nd._mix(minima[:, nd._COLUMNS[nd.LONE : nd.LONE + nd.BESIDE]]) & np.uint64(63)).all()
+    assert nd.beside_bits(minima).shape[1] == nd.BESIDE // 2 and len(set(nd._COLUMNS.tolist())) == nd.LONE + nd.BESIDE
+
+
+def test_shuffle_files_go_with_their_step_and_heads_are_not_shuffled_again(spark):
+    import time
+
+    rng = random.Random(13)
+    rows = [(k, story(rng)) for k in range(120)]
+    rows += [(1000 + k, rows[k][1]) for k in range(20)] + [(2000 + k, edited(rng, rows[k][1], 3)) for k in range(20)]
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in (str(x) for x in files.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+
+    before = shuffled()
+    found = nd.Duplicates(spark, spark.createDataFrame(rows, "id long, body string"), "id", ["body"], 0.5)
+    for _ in range(20):  # they are removed in the background
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.5)
+    assert not left
+    assert "Exchange" not in found.records.heads._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert {(r["id_a"], r["id_b"]) for r in found.pairs().collect()} == brute(rows, 0.5)
+
+
 def test_parsing():
     ok = [1.0] + [0.0] * 3
     assert nb.parse_vector(json.dumps(ok), 4) is not None
